@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, language_id, simhash_dedup, toxicity
+from . import bpe, decontaminate, embed_dedup, language_id, secret_scan, simhash_dedup, toxicity
 from .common import fold
 
 
@@ -24,6 +24,11 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "word_pos", "nth", F.sha2("secret", 256).alias("secret_sha256"), F.length("secret").alias("secret_length"), "probability")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -68,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9_SQL}
+    return {"op6_secret_scan": secret_scan.oracle(), "op9_benchmark_decontamination": OP9_SQL}
