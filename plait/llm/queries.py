@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, language_id, secret_scan, simhash_dedup, toxicity
-from .common import fold
+from . import bpe, decontaminate, embed_dedup, language_id, lm_score, secret_scan, sharding, simhash_dedup, token_counts, toxicity
+from .common import fold, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in shards, are compacted, and are read from the version committed last."""
+    store = sharding.ManifestStore(spark, shared_path(spark, "store"))
+    sharding.append(store, table(spark, sf_dir, "documents"))
+    sharding.compact(store)
+    sharding.vacuum(store)
+    return store.frame().select("doc_id", F.col("arrival").cast("long"), "tier", F.col("shard").alias("target_file"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come; source src1 is taken down; German ones are counted anew by a newer tokenizer; the first batch is sent again."""
+    docs = table(spark, sf_dir, "documents")
+    counted = lambda rows, tokenizer: rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), token_counts.count_tokens(rows, tokenizer).alias("tokens"))
+    rollup = token_counts.Rollup(spark, shared_path(spark, "rollup"))
+    german = docs.where("lang = 'de' AND source <> 'src1'")
+    arrivals = token_counts.changes(None, counted(docs, "words-1"))
+    rollup.commit(arrivals, "1-arrivals")
+    rollup.commit(token_counts.changes(counted(docs.where("source = 'src1'"), "words-1"), None), "2-takedown")
+    rollup.commit(token_counts.changes(counted(german, "words-1"), counted(german, "pieces-2")), "3-recount")
+    rollup.commit(arrivals, "1-arrivals")
+    return rollup.totals()
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(language_id.training_rows(docs))
@@ -20,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -68,9 +95,26 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP1_SQL = f"""
+WITH d AS (SELECT *, coalesce(floor(doc_id / {sharding.SHARD_ROWS}), -1)::BIGINT AS shard, coalesce(strlen(text), 0) + 16 AS size FROM documents),
+s AS (SELECT shard, sum(size) AS bytes FROM d GROUP BY shard),
+t AS (SELECT *, ((length(bin(bytes::BIGINT)) - 1) // 2)::INTEGER AS tier FROM s),
+m AS (SELECT *, count(*) OVER (PARTITION BY tier) >= {sharding.FAN_IN} AND bytes < {sharding.TARGET_BYTES} AS merged FROM t),
+p AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY tier, merged ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM m),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard ORDER BY doc_id, md5(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own FROM d)
+SELECT doc_id, o.shard AS arrival, tier, CASE WHEN merged THEN 't' || tier || '-' || floor((ahead + own) / {sharding.TARGET_BYTES})::BIGINT ELSE 's' || o.shard END AS target_file, sha256(text) AS text_sha256
+FROM o JOIN p USING (shard)
+"""
+
+OP2_SQL = f"""
+WITH c AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{token_counts.TOKENIZERS["words-1"]}')) AS w, len(regexp_extract_all(coalesce(text, ''), '{token_counts.TOKENIZERS["pieces-2"]}')) AS p FROM documents WHERE source <> 'src1')
+SELECT source, lang, CASE WHEN lang = 'de' THEN 'pieces-2' ELSE 'words-1' END AS tokenizer, sum(CASE WHEN lang = 'de' THEN p ELSE w END)::BIGINT AS tokens, count(*)::BIGINT AS docs FROM c GROUP BY ALL
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": secret_scan.oracle(), "op9_benchmark_decontamination": OP9_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_token_counts": OP2_SQL, "op6_secret_scan": secret_scan.oracle(), "op9_benchmark_decontamination": OP9_SQL}
