@@ -37,7 +37,7 @@ from .common import WORD, fold_of, materialise, partitions
 
 CONTEXT_BITS = 12
 BLOCK_BYTES = 8_000_000
-DISCOUNT, STRENGTH = 0.9, 200.0
+DISCOUNT, STRENGTH = 0.8, 20.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SAMPLES = 2, 3
 
@@ -167,6 +167,22 @@ def sweeps(bucket: int, words: int, word: np.ndarray, context: np.ndarray, count
     return kept
 
 
+def predictive(words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, kept: list[np.ndarray], total: np.ndarray, known_words: int) -> np.ndarray:
+    """Predictive probability of each pair, averaged over the kept samples.
+
+    ``total`` has for each context its customers and, by sample, its tables,
+    over all words.  Words without customers are the one class of the unknown.
+    """
+    known = np.bincount(word, count, words) > 0
+    mean = np.zeros(len(word))
+    for k, tables in enumerate(kept):
+        at_root = np.bincount(word, tables, words)
+        p = np.where(known, at_root - ROOT_DISCOUNT, ROOT_STRENGTH + ROOT_DISCOUNT * known_words) / (ROOT_STRENGTH + total[:, 1 + k].sum())
+        own = STRENGTH + DISCOUNT * total[context, 1 + k]
+        mean += (np.maximum(count - DISCOUNT * tables, 0) + own * p[word]) / (STRENGTH + total[context, 0])
+    return mean / len(kept)
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, left_out: int = 2, seed: int = 3) -> DataFrame:
     """One row per document: key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -258,14 +274,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         hashes, word, context, count, places = merge_questions(blobs)
         total = model.value
         of_word = np.bincount(word, count, len(hashes))
-        mean = np.zeros(len(word))
-        for k, tables in enumerate(sweeps(bucket, len(hashes), word, context, count, 1 / buckets, seed)):
-            customers = total[:, 1 + k].sum()
-            at_root = np.bincount(word, tables, len(hashes))
-            p = np.where(of_word > 0, at_root - ROOT_DISCOUNT, ROOT_STRENGTH + ROOT_DISCOUNT * known_words) / (ROOT_STRENGTH + customers)
-            own = STRENGTH + DISCOUNT * total[context, 1 + k]
-            mean += (np.maximum(count - DISCOUNT * tables, 0) + own * p[word]) / (STRENGTH + total[context, 0])
-        log = np.log10(mean / SAMPLES)
+        log = np.log10(predictive(len(hashes), word, context, count, sweeps(bucket, len(hashes), word, context, count, 1 / buckets, seed), total, known_words))
         out = [pack(log[at].astype(np.float32), narrow(of_word[words].astype(np.int64)), narrow(np.bincount(np.searchsorted(words, word[at]), minlength=len(words)))) for at, words in places]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([bucket] * len(names), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "blob"])
 
