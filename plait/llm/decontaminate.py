@@ -63,8 +63,8 @@ def rarest_terms(lots: DataFrame, terms: DataFrame, index: DataFrame, rarest: in
 def exact_places(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
     """One row per document: ``id``, ``n_words``, ``places`` (array of ``(start, length, item)``: exact places of phrases; empty if there are none).
 
-    Null texts have no words; repeated rows of a key are one document each,
-    but share their candidates; null keys have no places.
+    Null texts have no words; repeated rows of a key, null keys among them,
+    are one document each, but share their candidates.
     """
     spark = docs.sparkSession
     found = phrases(benchmark, item, item_text, length)
@@ -78,10 +78,11 @@ def exact_places(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     candidates = materialise(candidates, "candidates")
     drop_path(spark, path)
     wanted = candidates.join(lots, "phrase").groupBy("id").agg(F.collect_list(F.struct("start", "words", "items")).alias("wanted"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left").select("id", terms_of("t").alias("w"), "wanted")
-    right = F.filter("wanted", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", terms_of("t").alias("w"), "wanted")
+    none = F.array().cast(wanted.schema["wanted"].dataType)
+    right = F.filter(F.coalesce("wanted", none), lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
     places = F.transform(right, lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("length"), c["items"].alias("items")))
-    return rows.select("id", F.size("w").cast("long").alias("n_words"), F.coalesce(places, F.expr("cast(array() as array<struct<start: int, length: int, items: array<bigint>>>)") if dict(benchmark.dtypes)[item] == "bigint" else F.array()).alias("places"))
+    return rows.select("id", F.size("w").cast("long").alias("n_words"), places.alias("places"))
 
 
 def proximity_places(docs: DataFrame, benchmark: DataFrame, slop: int = 5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:

@@ -57,6 +57,12 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, s
     return mean, np.concatenate(blocks, 1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def codes_of(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """Parts of each vector's code: one integer for each table."""
     signs = (x - mean) @ projection >= 0
@@ -86,7 +92,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     dimension = max(sorted(set(lengths)), key=lengths.count)
     sample = np.array([r["x"] for r in picked if len(r["x"]) == dimension])
-    model = spark.sparkContext.broadcast(learn_rotation(sample / np.linalg.norm(sample, axis=1, keepdims=True)))
+    model = spark.sparkContext.broadcast(learn_rotation(unit(sample)))
     tables = BITS // PART_BITS
 
     def cells(batches):
@@ -96,7 +102,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         flips = np.array([0, *(1 << np.arange(PART_BITS))])
         for batch in batches:
             raw = np.array(batch.column("x").flatten()).reshape(-1, dimension)
-            parts = codes_of(raw / np.linalg.norm(raw, axis=1, keepdims=True), *model.value)
+            parts = codes_of(unit(raw), *model.value)
             n = len(raw)
             code = (parts << (np.arange(tables) * PART_BITS)).sum(1)
             cell = (parts[:, :, None] ^ flips[None, None, :]) + (np.arange(tables) << PART_BITS)[None, :, None]
@@ -159,7 +165,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         rest = None
         for batch in batches:
             x = np.array(batch.column("x").flatten()).reshape(-1, dimension)
-            part = (np.stack([batch.column(n).to_numpy() for n in ("cell", "i", "j")], 1), batch.column("c").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False), x / np.linalg.norm(x, axis=1, keepdims=True), batch.column("copies").to_numpy())
+            part = (np.stack([batch.column(n).to_numpy() for n in ("cell", "i", "j")], 1), batch.column("c").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False), unit(x), batch.column("copies").to_numpy())
             if rest is not None:
                 part = tuple(np.concatenate(z) for z in zip(rest, part, strict=True))
             cut = np.flatnonzero((part[0][1:] != part[0][:-1]).any(1)) + 1

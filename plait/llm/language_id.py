@@ -49,7 +49,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     on order nor on partitions.  Only the sample reaches the driver.
     """
     cell = F.pmod(F.xxhash64(F.lit(1), key), F.lit(sample_texts))
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) >= 40))
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
     picked = rows.groupBy(F.col(lang).alias("lang"), cell.alias("cell")).agg(F.min_by(F.substring(text, 1, SAMPLE_CHARS), F.struct(F.xxhash64(F.lit(2), key), F.xxhash64(text))).alias("text"))
     by: dict[str, list[str]] = {}
     for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["cell"])):

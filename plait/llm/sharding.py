@@ -18,6 +18,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 SHARD_ROWS = 4096
@@ -71,7 +72,7 @@ class ManifestStore:
         parts = self.read(version)["parts"]
         if not parts:
             raise ValueError("the version is empty")
-        frames = [self.spark.read.option("basePath", p).parquet(p) for p in sorted({x["path"] for x in parts})]
+        frames = [self.spark.read.schema(StructType.fromJson(x["schema"])).option("basePath", x["path"]).parquet(x["path"]) for x in parts]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
@@ -105,11 +106,16 @@ def plan(sizes: DataFrame, target: int = TARGET_BYTES, fan_in: int = FAN_IN) ->
 
 
 def append(store: ManifestStore, docs: DataFrame, key: str = "doc_id", rows: int = SHARD_ROWS) -> int:
-    """Write ``docs`` as small shards, one folder each, without a shuffle, and commit the version that has them."""
+    """Write ``docs`` as small shards, one folder each, without a shuffle, and commit the version that has them.
+
+    Columns named shard, arrival or tier are the store's and are replaced.  An
+    empty arrival makes a version with no more rows than before.
+    """
     manifest = store.read()
     path = f"{store.path}/data/{manifest['version'] + 1}"
-    arrivals(docs, key, rows).write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(path)
-    return store.commit([*manifest["parts"], {"path": path, "generation": 0}], manifest["version"])
+    rows_in = arrivals(docs.drop("shard", "arrival", "tier"), key, rows)
+    rows_in.write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(path)
+    return store.commit([*manifest["parts"], {"path": path, "generation": 0, "schema": rows_in.schema.jsonValue()}], manifest["version"])
 
 
 def assign(rows: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
@@ -136,10 +142,10 @@ def compact(store: ManifestStore, key: str = "doc_id", text: str = "text", targe
     """
     manifest = store.read()
     path = f"{store.path}/data/{manifest['version'] + 1}"
-    rows = store.frame(manifest["version"])
+    rows = store.frame(manifest["version"]).drop("arrival", "tier")
     placed = assign(rows, key, text, target, fan_in).withColumnRenamed("shard", "arrival").withColumnRenamed("target_file", "shard")
     placed.repartition("shard").write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(path)
-    return store.commit([{"path": path, "generation": 1 + max(p["generation"] for p in manifest["parts"])}], manifest["version"])
+    return store.commit([{"path": path, "generation": 1 + max(p["generation"] for p in manifest["parts"]), "schema": placed.schema.jsonValue()}], manifest["version"])
 
 
 def vacuum(store: ManifestStore, keep: int = 1) -> None:

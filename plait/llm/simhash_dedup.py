@@ -160,6 +160,10 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: of each group of near copies the one with the smallest key."""
-    kept = simhash_groups(docs, key, text).where("kept").select(key)
-    return docs.join(kept, key, "left_semi")
+    """The documents that stay: of each group of near copies the one with the smallest key.
+
+    Rows without a key stay, as nothing names them; rows that repeat a key stay
+    or go together.
+    """
+    gone = simhash_groups(docs, key, text).where("not kept").select(key)
+    return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

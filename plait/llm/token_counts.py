@@ -59,5 +59,8 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, tokens, docs)``; groups whose documents are all gone are left out."""
-        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/deltas")
+        schema = ", ".join(f"{c} string" for c in GROUP) + ", tokens long, docs long"
+        if not self._fs.exists(self._path(f"{self.path}/deltas")):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/deltas")
         return rows.groupBy(*GROUP).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).where("docs <> 0 or tokens <> 0")

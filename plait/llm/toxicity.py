@@ -105,7 +105,7 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], share: float | None = None) -> Model:
-    """Models from four fifths of the texts, the curve from the rest; with one class only, or none, every score is that class's share.  ``share``: of toxic texts among all, if the sample has another."""
+    """Models from four fifths of the texts, the curve from the rest; with one class only, or none, every score is the share of toxic ones (none: 0.001).  ``share``: of toxic texts among all, if the sample has another."""
     part = np.array([int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 5 for t in texts], int)
     y = np.array(labels, int)
     if len(texts) and not ((part > 0) & (y == 1)).any() or not ((part > 0) & (y == 0)).any():
@@ -150,7 +150,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
         x = model.evidence([t for t, h in zip(texts, held, strict=True) if h])
         model.curve = logistic(x, y[held], y[held].mean() if share is None else share)
     else:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = min(0.999, max(0.001, y.mean() if len(y) else 0))
         model.curve = np.array([0, 0, np.log(share / (1 - share))])
     return model
 
