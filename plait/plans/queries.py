@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, joins, journal, order, rank, rollup, traverse, version
+from ..sources import extract, files, resolve
 from ..sources.tables import GRAPH_SQL, edges, nodes, table
 
+from . import packets
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -588,3 +591,127 @@ def workflow_replay(spark, d):
 def timeline(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
     return journal.timeline(spark.range(20).withColumnRenamed("id", "user_id"), e, "user_id", "ts", "event_id").select("event_id", "user_id", "position")
+
+
+# Sources, extraction and resolution.
+
+
+def inventory_files(spark, d):
+    """Documents as files: path, size and time of change."""
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".ts").when(F.col("lang") == "de", ".py").otherwise(".txt"))
+    return docs.select(path.alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") % 1000).alias("mtime"), "text")
+
+
+INVENTORY_SQL = "WITH f AS (SELECT 'src/' || source || '/' || doc_id || CASE lang WHEN 'en' THEN '.ts' WHEN 'de' THEN '.py' ELSE '.txt' END AS path, n_chars AS size, doc_id % 1000 AS mtime, text FROM documents)"
+
+
+@query(INVENTORY_SQL + "SELECT path, CASE WHEN path LIKE '%.ts' THEN 'typescript' ELSE 'python' END AS language, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS source_hash FROM f WHERE size <= 5000 AND path NOT LIKE '%.txt'")
+def file_scan(spark, d):
+    f = inventory_files(spark, d).where(files.listed(F.col("path"), F.col("size")) & (F.col("size") <= 5000))
+    return f.select("path", files.language(F.col("path")).alias("language"), F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256).alias("source_hash"))
+
+
+@query(INVENTORY_SQL + """, l AS (SELECT CASE WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.py' THEN 'python' END AS language, size FROM f)
+ SELECT language, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes, CASE WHEN grouping(language) = 1 THEN CASE WHEN count(*) > 500 THEN 'file-limit-exceeded' WHEN sum(size) > 1000000 THEN 'byte-limit-exceeded' ELSE 'within-bounds' END END AS decision FROM l GROUP BY GROUPING SETS ((language), ())""")
+def preflight(spark, d):
+    f = inventory_files(spark, d)
+    return files.discover(f.select(files.language(F.col("path")).alias("language"), "size"), 500, 1_000_000)
+
+
+@query(INVENTORY_SQL + """, n AS (SELECT path, CASE WHEN mtime % 50 = 0 THEN size + 1 ELSE size END AS size, mtime FROM f WHERE mtime % 97 <> 3), p AS (SELECT path, size, mtime FROM f WHERE mtime % 89 <> 5)
+ SELECT coalesce(p.path, n.path) AS path, CASE WHEN p.path IS NULL THEN 'source-added' WHEN n.path IS NULL THEN 'source-removed' ELSE 'source-changed' END AS reason FROM p FULL JOIN n ON p.path = n.path WHERE p.path IS NULL OR n.path IS NULL OR p.size <> n.size""")
+def plan_verification(spark, d):
+    f = inventory_files(spark, d).select("path", "size", "mtime")
+    now = f.where("mtime % 97 <> 3").withColumn("size", F.when(F.col("mtime") % 50 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return files.verify_plan(f.where("mtime % 89 <> 5"), now)
+
+
+@query(INVENTORY_SQL + """SELECT n.path, n.mtime % 50 = 0 OR p.path IS NULL AS reparsed FROM f n LEFT JOIN (SELECT path FROM f WHERE mtime % 89 <> 5) p ON p.path = n.path""")
+def incremental_scan(spark, d):
+    f = inventory_files(spark, d).select("path", "size", "mtime")
+    now = f.withColumn("size", F.when(F.col("mtime") % 50 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return files.incremental(f.where("mtime % 89 <> 5"), now).select("path", "reparsed")
+
+
+@query(INVENTORY_SQL + "SELECT path, size FROM f WHERE path LIKE 'src/src1/%'")
+def subtree_scan(spark, d):
+    return files.subtree(inventory_files(spark, d), "src/src1").select("path", "size")
+
+
+@query("""SELECT * FROM (SELECT event_type AS path, event_id AS commit, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank, count(*) OVER (PARTITION BY event_type) > 20 AS truncated FROM events) WHERE rank <= 20""")
+def path_history(spark, d):
+    commits = table(spark, d, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("commit"), F.col("ts").alias("time"))
+    return files.history(commits, commits.select("path"), 20).select("path", "commit", "rank", "truncated")
+
+
+@query("""WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:class|id|data-[a-z-]+)=["'']([^"'']+)["'']', 1)) AS v FROM pages), w AS (SELECT DISTINCT page_id, unnest(regexp_split_to_array(v, '[ \\t\\n\\r\\f]+')) AS w FROM v), k AS (SELECT page_id, list(w ORDER BY w) AS l FROM w WHERE length(w) BETWEEN 3 AND 120 GROUP BY page_id)
+ SELECT page_id, coalesce(array_to_string(l[1:80], ' '), '') AS tokens FROM pages LEFT JOIN k USING (page_id)""")
+def convention_tokens(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(extract.convention_tokens(F.col("html")), " ").alias("tokens"))
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'src/app/shop/[id]/route.ts' WHEN 1 THEN 'src/routes/(main)/cart/[...rest]/+server.ts' ELSE 'pages/api/items/[key].ts' END AS path FROM part)
+ SELECT p_partkey, CASE WHEN path LIKE '%route.ts' THEN '/shop/:id' WHEN path LIKE '%server.ts' THEN '/cart/*rest' ELSE '/api/items/:key' END AS route FROM t""")
+def framework_routes(spark, d):
+    s = F.col("p_size") % 3
+    path = F.when(s == 0, "src/app/shop/[id]/route.ts").when(s == 1, "src/routes/(main)/cart/[...rest]/+server.ts").otherwise("pages/api/items/[key].ts")
+    return table(spark, d, "part").select("p_partkey", extract.framework_route(path).alias("route"))
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS s FROM pages) SELECT page_id, split_part(s, '/', 1) AS module, CASE WHEN contains(s, '/') THEN substring(s, length(split_part(s, '/', 1)) + 2) ELSE '' END AS rest FROM u""")
+def module_prefix(spark, d):
+    urls = table(spark, d, "pages").select(F.col("page_id").alias("path"), F.regexp_replace("url", "^https?://", "").alias("specifier"))
+    modules = urls.select(F.substring_index("specifier", "/", 1).alias("module")).distinct()
+    return resolve.longest_prefix(urls, modules).select(F.col("path").alias("page_id"), "module", "rest")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem), f AS (SELECT p_partkey AS p, CASE WHEN p_size % 2 = 0 THEN '.ts' ELSE '/index.js' END AS e FROM part WHERE p_size % 5 <> 0)
+ SELECT DISTINCT 'src/orders/' || (o % 100) || '.ts' AS path, '../parts/' || i.p AS specifier, CASE WHEN e IS NOT NULL THEN 'src/parts/' || i.p || e END AS target FROM i LEFT JOIN f ON f.p = i.p""")
+def relative_imports(spark, d):
+    key = F.col("l_partkey").cast("string")
+    imports = table(spark, d, "lineitem").select(F.concat(F.lit("src/orders/"), (F.col("l_orderkey") % 100).cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("../parts/"), key).alias("specifier"))
+    there = table(spark, d, "part").where("p_size % 5 <> 0").select(F.concat(F.lit("src/parts/"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, ".ts").otherwise("/index.js")).alias("path"))
+    return resolve.relative(imports, there)
+
+
+# Packets.
+
+
+@query(GRAPH_SQL + """, k AS (SELECT id, label, type FROM nodes WHERE type = 'nation'), o AS (SELECT source AS id, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT target AS id, count(*) AS n FROM edges GROUP BY 1)
+ SELECT k.id, label, coalesce(o.n, 0) AS outgoing_total, coalesce(i.n, 0) AS incoming_total, coalesce(i.n, 0) > 24 AS incoming_truncated FROM k LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")
+def node_cards(spark, d):
+    n = nodes(spark, d)
+    cards = packets.node_cards(n, edges(spark, d), n.where("type = 'nation'"))
+    return cards.select("id", "label", "outgoing_total", "incoming_total", "incoming_truncated")
+
+
+@query("""WITH RECURSIVE c AS (SELECT source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), t AS (SELECT * FROM c WHERE r <= 20),
+ w AS (SELECT source, 0::BIGINT AS r, 0::HUGEINT AS used, false AS included FROM (SELECT DISTINCT source FROM t) UNION ALL SELECT t.source, t.r, CASE WHEN used + size <= 20000 THEN used + size ELSE used END, used + size <= 20000 FROM w JOIN t ON t.source = w.source AND t.r = w.r + 1)
+ SELECT source, doc_id, included FROM t JOIN w USING (source, r)""")
+def budget_packing(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").alias("size"))
+    ranked = order.top_k(docs, ["source"], [F.desc("size"), F.asc("doc_id")], 20)
+    return packets.pack(ranked, "source", "rank", "size", 20_000).select("source", "doc_id", "included")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - 1 END AS supersedes, o_custkey AS plan_id, o_orderdate AS time, CASE o_orderstatus WHEN 'F' THEN 'implemented' WHEN 'O' THEN 'partial' ELSE 'unresolved' END AS verdict FROM orders),
+ a AS (SELECT plan_id, arg_max(verdict, (time, id)) AS verdict FROM r WHERE id NOT IN (SELECT supersedes FROM r WHERE supersedes IS NOT NULL) GROUP BY plan_id)
+ SELECT c_custkey AS plan_id, CASE WHEN verdict = 'implemented' THEN 'reconciled' WHEN verdict IS NOT NULL THEN verdict WHEN NOT c_acctbal > 0 THEN 'anchor-stale' ELSE 'planned-only' END AS status FROM customer LEFT JOIN a ON plan_id = c_custkey""")
+def plan_status(spark, d):
+    k = F.col("o_orderkey")
+    verdict = F.when(F.col("o_orderstatus") == "F", "implemented").when(F.col("o_orderstatus") == "O", "partial").otherwise("unresolved")
+    r = table(spark, d, "orders").select(k.alias("id"), F.when(k % 3 == 0, k - 1).alias("supersedes"), F.col("o_custkey").alias("plan_id"), F.col("o_orderdate").alias("time"), verdict.alias("verdict"))
+    return packets.plan_status(table(spark, d, "customer").select(F.col("c_custkey").alias("plan_id"), (F.col("c_acctbal") > 0).alias("anchor_current")), r)
+
+
+@query(GRAPH_SQL + """, g AS (SELECT feature, count(*) FILTER (kind = 'endpoint') AS e, count(*) AS n FROM nodes GROUP BY feature) SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT arg_max(feature, (e, n, feature)) FROM g) AS largest_feature""")
+def project_home(spark, d):
+    return packets.home(nodes(spark, d), edges(spark, d)).select("nodes", "edges", "largest_feature")
+
+
+@query()
+def mermaid(spark, d):
+    """A drawing of regions and nations."""
+    n = nodes(spark, d).where(F.col("type").isin("region", "nation"))
+    return packets.mermaid(n, joins.retained_edges(edges(spark, d), n))
