@@ -50,28 +50,51 @@ def token_estimate(columns: list[str]) -> Column:
 
 
 def singular(word: Column) -> Column:
-    return F.when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(ss|us)$"), word).when(word.rlike("sses$"), F.regexp_replace(word, "es$", "")).when(word.rlike("s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    low = F.lower(word)
+    return F.when(low.endswith("ies"), F.concat(F.regexp_replace(word, "(?i)ies$", ""), F.lit("y"))).when(low.rlike("ss$|us$") | ~low.endswith("s"), word).otherwise(F.regexp_replace(word, "(?i)s$", ""))
 
 
 def title_case(text: Column) -> Column:
-    """Separators and camel humps become spaces, words get capitals."""
-    spaced = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "[-_.\\s]+", " ")
-    return F.array_join(F.transform(F.split(F.trim(spaced), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    """Words between white space, underscores and hyphens with one capital each."""
+    words = F.filter(F.split(text, r"[\s_-]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), " ")
 
 
 def route_parts(route: Column) -> Column:
     """Segments of a route without parameters, ``api`` and version numbers."""
-    return F.filter(F.split(F.regexp_replace(route, r"[?#].*$", ""), "/"), lambda p: (p != "") & ~p.rlike(r"^[:*{\[]") & ~F.lower(p).rlike(r"^(api|v[0-9]+)$"))
+    return F.filter(F.split(F.regexp_replace(route, r"\?.*$", ""), "/"), lambda p: (p != "") & ~p.startswith(":") & ~p.rlike(r"^\[.*\]$") & ~p.rlike(r"(?i)^(api|v[0-9]+)$"))
+
+
+#: Last segments that name an action, with a whole title or a verb for what stands before.
+TITLES = {"login": "Sign In", "logout": "Sign Out", "accept-invite": "Accept Invite", "invite-lookup": "Look Up Invite", "remind": "Send Reminder"}
+ACTIONS = {"redeem": "Redeem", "approve": "Approve", "reject": "Reject", "undo": "Undo", "settle": "Settle", "exit": "Exit", "verify": "Verify"}
 
 
 def route_title(method: Column, route: Column) -> Column:
-    """A name for an endpoint: a verb by method, and the last segment, singular unless a list is read; null if no segment tells."""
+    """A name for an endpoint, by action, health check, or method and last segment; null for wildcards and where no segment tells."""
     parts = route_parts(route)
-    last = F.element_at(parts, -1)
-    by_id = route.rlike(r"[:{\[][^/]*$")
-    verb = F.when(method == "GET", F.when(by_id, "View").otherwise("List")).when(method == "POST", "Create").when(method.isin("PUT", "PATCH"), "Update").when(method == "DELETE", "Delete")
-    noun = F.when((method == "GET") & ~by_id, last).otherwise(singular(last))
-    return F.when((F.size(parts) > 0) & verb.isNotNull(), F.concat(verb, F.lit(" "), F.lower(title_case(noun))))
+    last, before = F.element_at(parts, -1), F.get(parts, F.size(parts) - 2)
+    low, reads = F.lower(last), method.isin("GET", "HEAD")
+    by_id = F.exists(F.split(F.regexp_replace(route, r"\?.*$", ""), "/"), lambda p: p.startswith(":") | p.rlike(r"^\[.*\]$"))
+    one, many = title_case(singular(last)), title_case(last)
+    title = F.when(reads & (low == "me"), "Get Current User")
+    for word, text in TITLES.items():
+        title = title.when(low == word, text)
+    for word, verb in ACTIONS.items():
+        title = title.when(low == word, F.concat_ws(" ", F.lit(verb), title_case(singular(before))))
+    title = title.when(reads & low.isin("health", "healthz", "ready", "readiness", "live", "liveness", "ping", "status"), F.concat(F.lit("Check "), many))
+    title = title.when(reads & by_id, F.concat(F.lit("Get "), one)).when(reads, F.concat(F.lit("List "), many))
+    for methods, verb in ((("POST",), "Create"), (("PUT", "PATCH"), "Update"), (("DELETE",), "Delete")):
+        title = title.when(method.isin(*methods), F.concat(F.lit(verb + " "), one))
+    return F.when((F.size(parts) > 0) & ~route.rlike(r"[*()]|\$\{"), title.otherwise(F.concat(F.lit("Handle "), method, F.lit(" "), many)))
+
+
+def confidence(exact_handler: Column, exact_entry: Column, coverage: Column, boundary: Column, sibling: Column, truncated: Column) -> Column:
+    """``(score, level)`` of a name from its evidence: between 0 and 1, high from 0.85, medium from 0.7."""
+    add = lambda c, x: F.when(c, x).otherwise(0.0)
+    raw = F.lit(0.6) + F.when(exact_handler, 0.15).otherwise(add(exact_entry, 0.05) - 0.2) + coverage * 0.15 + add(boundary, 0.1) - add(sibling, 0.25) - add(truncated, 0.15) - add(coverage == 0, 0.1)
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 2)
+    return F.struct(score.alias("score"), F.when(score >= 0.85, "high").when(score >= 0.7, "medium").otherwise("low").alias("level"))
 
 
 def shared_depth(a: Column, b: Column) -> Column:

@@ -56,7 +56,7 @@ def scope_filter(spark, d):
 
 
 @query("""SELECT doc_id, p AS path, CASE WHEN regexp_matches(p, '^src1/[^/]*$') THEN 'excluded' WHEN regexp_matches(p, '(^|/)(fixtures?|__fixtures__)/') THEN 'fixture'
- WHEN regexp_matches(p, '(^|/)(tests?|__tests__|specs?)/') OR regexp_matches(p, '[._](test|spec)\\.[a-z]+$') THEN 'test' WHEN regexp_matches(p, '(^|/)(generated|dist|build|coverage)/') OR regexp_matches(p, '\\.(generated|min)\\.[a-z]+$') THEN 'generated' ELSE 'application' END AS class
+ WHEN regexp_matches(p, '(^|/)tests?/') OR regexp_matches(p, '\\.spec\\.ts$') THEN 'test' WHEN regexp_matches(p, '(^|/)(generated|dist|build|coverage)/') OR regexp_matches(p, '\\.(generated|min)\\.[a-z]+$') THEN 'generated' ELSE 'application' END AS class
  FROM (SELECT doc_id, source || '/' || CASE doc_id % 5 WHEN 0 THEN 'tests/' WHEN 1 THEN 'fixtures/' WHEN 2 THEN 'dist/' ELSE '' END || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.spec.ts' ELSE '.ts' END AS p FROM documents)""".replace("\\\\", "\\"))
 def path_classifier(spark, d):
     k = F.col("doc_id")
@@ -65,13 +65,13 @@ def path_classifier(spark, d):
     return table(spark, d, "documents").select("doc_id", path.alias("path")).withColumn("class", filters.path_class(F.col("path"), ["src1/*"]))
 
 
-@query(GRAPH_SQL + "SELECT id, split_part(path, '/', 2) AS domain_of_path, CASE WHEN regexp_matches(path, '(^|[._-])orders?([._-]|$)') THEN 'order' ELSE 'other' END AS family FROM nodes")
+@query(GRAPH_SQL + "SELECT id, array_to_string(list_transform(string_split(split_part(path, '/', 2), '-'), lambda w: upper(w[1]) || w[2:]), ' ') AS domain_of_path, split_part(path, '/', 2) AS feature_of_path, CASE WHEN regexp_matches(path, '(^|[._-])orders?([._-]|$)') THEN 'order' ELSE 'other' END AS family FROM nodes")
 def domain_derivation(spark, d):
     n = nodes(spark, d)
-    return n.select("id", filters.domain_of(F.col("path")).alias("domain_of_path"), F.when(F.col("path").rlike("(^|[._-])orders?([._-]|$)"), "order").otherwise("other").alias("family"))
+    return n.select("id", filters.domain_of(F.col("path")).alias("domain_of_path"), filters.feature_of(F.col("path")).alias("feature_of_path"), F.when(F.col("path").rlike("(^|[._-])orders?([._-]|$)"), "order").otherwise("other").alias("family"))
 
 
-@query("""SELECT p_partkey, CASE WHEN n LIKE '%.d.ts' THEN 'declaration' WHEN regexp_matches(n, '(^|[._-])services?([._-]|$)') THEN 'service' WHEN regexp_matches(n, '(^|[._-])queues?([._-]|$)') THEN 'queue' ELSE 'module' END AS file_type
+@query("""SELECT p_partkey, CASE WHEN n LIKE '%.d.ts' THEN 'declaration' WHEN contains(n, 'service') THEN 'service' WHEN contains(n, 'queue') THEN 'queue' ELSE 'module' END AS file_type
  FROM (SELECT p_partkey, p_partkey || CASE p_size % 4 WHEN 0 THEN '.d.ts' WHEN 1 THEN '.service.ts' WHEN 2 THEN '-queue.ts' ELSE '.ts' END AS n FROM part)""")
 def file_classifier(spark, d):
     s = F.col("p_size") % 4
@@ -538,7 +538,7 @@ def token_estimate(spark, d):
     return table(spark, d, "customer").select("c_custkey", rank.token_estimate(["c_custkey", "c_mktsegment"]).alias("tokens"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'View order' WHEN 1 THEN 'List orders' WHEN 2 THEN 'Create order' ELSE 'Delete order' END AS title FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Get Order' WHEN 1 THEN 'List Orders' WHEN 2 THEN 'Create Order' ELSE 'Delete Order' END AS title FROM orders""")
 def route_semantics(spark, d):
     k = F.col("o_orderkey") % 4
     method = F.when(k < 2, "GET").when(k == 2, "POST").otherwise("DELETE")
@@ -645,7 +645,8 @@ def path_history(spark, d):
     return files.history(commits, commits.select("path"), 20).select("path", "commit", "rank", "truncated")
 
 
-@query("""WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:class|id|data-[a-z-]+)=["'']([^"'']+)["'']', 1)) AS v FROM pages), w AS (SELECT DISTINCT page_id, unnest(regexp_split_to_array(v, '[ \\t\\n\\r\\f]+')) AS w FROM v), k AS (SELECT page_id, list(w ORDER BY w) AS l FROM w WHERE length(w) BETWEEN 3 AND 120 GROUP BY page_id)
+@query("""WITH v AS (SELECT page_id, kind, unnest(regexp_extract_all(html, '(?i)\\b(?:' || kind || CASE kind WHEN 'data' THEN '-[a-z0-9_-]+' ELSE '' END || ')[ ]*=[ ]*["'']([^"'']*)["'']', 1)) AS v FROM pages, (VALUES ('class'), ('id'), ('data')) k(kind)), w AS (SELECT DISTINCT page_id, kind, unnest(regexp_split_to_array(v, '[ \\t\\n\\r\\f]+')) AS w FROM v),
+ k AS (SELECT page_id, list(kind || ':' || w ORDER BY kind || ':' || w) AS l FROM w WHERE length(w) BETWEEN 3 AND 120 AND lower(w) NOT IN ('active', 'btn', 'button', 'container', 'disabled', 'error', 'form', 'form-control', 'hidden', 'input', 'label', 'modal', 'row', 'selected', 'show', 'table', 'text', 'title', 'value', 'wrapper') GROUP BY page_id)
  SELECT page_id, coalesce(array_to_string(l[1:80], ' '), '') AS tokens FROM pages LEFT JOIN k USING (page_id)""")
 def convention_tokens(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(extract.convention_tokens(F.col("html")), " ").alias("tokens"))

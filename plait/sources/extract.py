@@ -15,7 +15,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 FACT = StructType([StructField(n, IntegerType() if n == "line" else StringType()) for n in ("fact", "name", "detail", "owner", "confidence", "line")])
 PARSED = StructType([StructField("path", StringType()), StructField("status", StringType()), StructField("facts", ArrayType(FACT))])
-VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+VERBS = ("get", "post", "put", "patch", "delete")
+#: Runners whose one argument is a source file, and tokens that say nothing of a convention.
+RUNNERS = ("node", "nodejs", "tsx", "ts-node", "bun", "python", "python3", "php")
+GENERIC = ("active", "btn", "button", "container", "disabled", "error", "form", "form-control", "hidden", "input", "label", "modal", "row", "selected", "show", "table", "text", "title", "value", "wrapper")
 
 
 def python_facts(text: str, path: str) -> tuple[str, list[tuple]]:
@@ -76,7 +79,7 @@ def script_facts(text: str) -> tuple[str, list[tuple]]:
         out.append(("import", next(g for g in m.groups() if g), None, None, "exact", line(m.end())))
     for m in re.finditer(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class)\s+([A-Za-z_$][\w$]*)|^(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>", text, re.M):
         out.append(("symbol", m[2] or m[3], m[1] or "function", None, "exact", line(m.start())))
-    for m in re.finditer(r"""\b(?:app|router|server)\.(get|post|put|patch|delete|head|options)\(\s*['"](/[^'"]*)['"]\s*,\s*([A-Za-z_$][\w$]*)?""", text):
+    for m in re.finditer(r"""\b(?:app|router|server)\.(get|post|put|patch|delete)\(\s*['"](/[^'"]*)['"]\s*,\s*([A-Za-z_$][\w$]*)?""", text):
         out.append(("endpoint", f"{m[1].upper()} {m[2]}", m[3], None, "exact", line(m.start())))
     for m in re.finditer(r"""\bfetch\(\s*['"](/[^'"]*)['"](?:\s*,\s*\{[^}]*method:\s*['"](\w+)['"])?""", text):
         out.append(("request", f"{(m[2] or 'GET').upper()} {m[1]}", None, None, "exact", line(m.start())))
@@ -99,7 +102,7 @@ def extract(files: DataFrame) -> DataFrame:
             for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "text")), strict=True):
                 if language == "python":
                     status, facts = python_facts(text or "", path)
-                elif language in ("javascript", "typescript", "svelte"):
+                elif language in ("javascript", "jsx", "typescript", "tsx", "svelte"):
                     status, facts = script_facts(text or "")
                 else:
                     status, facts = "inventory-only", []
@@ -122,12 +125,17 @@ def framework_route(path: Column) -> Column:
     return F.when(inner.isNotNull(), F.concat(F.lit("/"), F.array_join(named, "/")))
 
 
-def convention_tokens(html: Column, stop: list[str] = (), most: int = 80) -> Column:
-    """Tokens of class, id and data attributes, 3 to 120 characters, without stop words; sorted, the first ``most``."""
-    values = F.regexp_extract_all(html, F.lit(r"""(?:class|id|data-[a-z-]+)=["']([^"']+)["']"""), 1)
-    words = F.flatten(F.transform(values, lambda v: F.split(v, r"\s+")))
-    kept = F.filter(words, lambda w: F.length(w).between(3, 120) & ~F.lower(w).isin(*(stop or [""])))
-    return F.slice(F.array_sort(F.array_distinct(kept)), 1, most)
+def convention_tokens(html: Column, stop: tuple[str, ...] = GENERIC, most: int = 80) -> Column:
+    """Tokens ``kind:value`` of class, id and data attributes, values of 3 to 120 characters and not generic; sorted, the first ``most``."""
+
+    def of(kind: str, name: str) -> Column:
+        values = F.regexp_extract_all(html, F.lit(rf"""(?i)\b(?:{name})\s*=\s*["']([^"']*)["']"""), 1)
+        words = F.flatten(F.transform(values, lambda v: F.split(v, r"\s+")))
+        kept = F.filter(words, lambda w: F.length(w).between(3, 120) & ~F.lower(w).isin(*stop))
+        return F.transform(kept, lambda w: F.concat(F.lit(f"{kind}:"), w))
+
+    every = F.concat(of("class", "class"), of("id", "id"), of("data", r"data-[\w-]+"))
+    return F.slice(F.array_sort(F.array_distinct(every)), 1, most)
 
 
 def package_scripts(manifests: DataFrame) -> DataFrame:
@@ -136,12 +144,13 @@ def package_scripts(manifests: DataFrame) -> DataFrame:
     rows = manifests.select("path", F.explode(scripts).alias("script", "command"))
     words = F.split(F.trim("command"), r"\s+")
     status = (
-        F.when(F.col("command").rlike(r"[|&;<>`$]"), "shell-syntax")
-        .when(F.size(words) != 2, "not-two-tokens")
-        .when(~F.element_at(words, 1).isin("node", "ts-node", "tsx", "php", "python", "python3", "bun", "deno"), "unknown-runner")
-        .when(F.element_at(words, 2).startswith("-"), "target-is-option")
-        .when(F.element_at(words, 2).rlike(r"^(/|[A-Za-z]:)|(^|/)\.\.(/|$)"), "target-outside")
-        .otherwise("entry")
+        F.when(F.trim("command") == "", "script-is-not-a-nonempty-string")
+        .when(F.trim("command").rlike(r"""[|&;<>$`"'\\\r\n]"""), "shell-syntax-or-quoting")
+        .when(F.size(words) != 2, "not-a-direct-runner-and-source-target")
+        .when(~F.element_at(words, 1).isin(*RUNNERS), "unsupported-direct-runner")
+        .when(F.element_at(words, 2).startswith("-"), "missing-literal-source-target")
+        .when(F.element_at(words, 2).rlike(r"^(/|[A-Za-z]:)|(^|/)\.\.(/|$)"), "target-outside-repository")
+        .otherwise("supported")
     )
     return rows.select("path", "script", F.element_at(words, 1).alias("runner"), F.try_element_at(words, F.lit(2)).alias("target"), status.alias("status"))
 

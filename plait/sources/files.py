@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Folders that a scan passes over.
-IGNORED = (".git", ".next", ".svelte-kit", ".turbo", "bin", "build", "coverage", "dist", "node_modules", "obj", "out", "target", "vendor", "venv")
+#: Folders that a scan passes over, besides hidden ones.
+IGNORED = ("build", "coverage", "dist", "node_modules", "out", "target", "vendor")
 LARGEST = 1_000_000
-#: Languages by extension.
-LANGUAGES = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "php": "php", "java": "java", "rs": "rust", "go": "go", "cs": "csharp", "svelte": "svelte"}
+#: Languages by extension; those without a parser are listed only.
+LANGUAGES = {
+    "cjs": "javascript", "js": "javascript", "mjs": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "py": "python", "php": "php", "java": "java", "rs": "rust", "go": "go", "cs": "csharp", "svelte": "svelte",
+    "asm": "assembly", "astro": "astro", "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "headers", "kt": "kotlin", "kts": "kotlin", "rb": "ruby", "scala": "scala", "bash": "shell", "sh": "shell", "zsh": "shell", "swift": "swift", "vue": "vue",
+}
 
 
 def extension(path: Column) -> Column:
@@ -19,7 +22,7 @@ def extension(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.try_element_at(names, extension(path))
+    return F.when(path.rlike("(^|/)Makefile$"), "makefile").otherwise(F.try_element_at(names, extension(path)))
 
 
 def listed(path: Column, size: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROBES = {"script": ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"], "python": [".py", "/__init__.py"]}
+#: Extensions in the order in which they are tried.
+EXTENSIONS = [".js", ".cjs", ".mjs", ".jsx", ".ts", ".tsx", ".svelte", ".vue", ".json"]
+PROBES = {"script": ["", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS)], "python": [".py", "/__init__.py"]}
 
 
 def fold_path(path: Column) -> Column:

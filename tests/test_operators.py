@@ -116,8 +116,10 @@ def test_ratios_and_readiness(spark):
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(rank.singular(F.lit(w))) for w in ("entries", "status", "class", "users", "user")] == ["entry", "status", "class", "user", "user"]
-    assert one(rank.title_case(F.lit("orderItem_list-view"))) == "Order Item List View"
-    assert [one(rank.route_title(F.lit(m), F.lit(r))) for m, r in (("GET", "/api/v2/orders"), ("GET", "/orders/:id"), ("POST", "/users"), ("GET", "/api/v1"))] == ["List orders", "View order", "Create user", None]
+    assert one(rank.confidence(F.lit(True), F.lit(True), F.lit(1.0), F.lit(True), F.lit(False), F.lit(False))).level == "high"
+    assert one(rank.title_case(F.lit("order_list-view"))) == "Order List View"
+    assert [one(rank.route_title(F.lit(m), F.lit(r))) for m, r in (("GET", "/api/v2/orders"), ("GET", "/orders/:id"), ("POST", "/users"), ("GET", "/api/v1"))] == ["List Orders", "Get Order", "Create User", None]
+    assert [one(rank.route_title(F.lit(m), F.lit(r))) for m, r in (("POST", "/login"), ("POST", "/invites/:id/approve"), ("GET", "/healthz"), ("GET", "/files/*rest"), ("OPTIONS", "/x"))] == ["Sign In", "Approve Invite", "Check Healthz", None, "Handle OPTIONS X"]
     assert one(rank.overlap_score(F.lit("The parser of é files"), F.lit("parser THE é"))) == 12 + 4 + 4
     assert one(rank.shared_depth(F.lit("src/a/b.ts"), F.lit("src/a/c/d.ts"))) == 2
     assert one(rank.occurrences(F.lit("aaaa"), "aa")) == 2
@@ -129,7 +131,8 @@ def test_paths(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     classes = [one(filters.path_class(F.lit(p), ["gen/**/*.ts"], ["src"])) for p in ("gen/a/b.ts", "src/__tests__/a.ts", "src/fixtures/test/a.ts", "src/dist/a.js", "lib/a.ts", "src/a.ts", "src/a.spec.ts")]
     assert classes == ["excluded", "test", "fixture", "generated", "excluded", "application", "test"]
-    assert [one(filters.domain_of(F.lit(p))) for p in ("packages/core/a.ts", "x/src/api/a.ts", "lib/a.ts", "a.ts")] == ["core", "api", "lib", "root"]
+    assert [one(filters.domain_of(F.lit(p))) for p in ("packages/core/a.ts", "x/src/api/a.ts", "lib/a.ts", "a.ts")] == ["Core", "Api", "Lib", "Project"]
+    assert [one(filters.feature_of(F.lit(p))) for p in ("src/app/api/users/route.ts", "src/app/[id]/page.ts", "src/components/x.ts", "src/lib/db/x.ts", "src/a.ts", "src/billing/a.ts")] == ["api/users", "pages/root", "ui/components", "library/db", "project", "billing"]
     assert [one(resolve.fold_path(F.lit(p))) for p in ("a/./b/../c", "../a", "a//b")] == ["a/c", None, "a/b"]
     assert [one(extract.framework_route(F.lit(p))) for p in ("app/(shop)/items/[id]/route.ts", "src/routes/a/[...all]/+server.js", "src/a.ts")] == ["/items/:id", "/a/*all", None]
     assert [one(filters.normalise_path(F.lit(p), "/repo")) for p in ("./a\\b.ts", "/repo/x/y", "a/../b", "")] == ["a/b.ts", "x/y", None, None]
@@ -168,7 +171,7 @@ def test_extraction_from_files(spark, tmp_path):
 def test_package_scripts(spark):
     text = '{"scripts": {"go": "node run.js", "all": "a && b", "opt": "node -v", "out": "node ../x.js", "odd": "make x", "long": "node a b"}}'
     got = {r.script: r.status for r in extract.package_scripts(spark.createDataFrame([("package.json", text)], "path string, text string")).collect()}
-    assert got == {"go": "entry", "all": "shell-syntax", "opt": "target-is-option", "out": "target-outside", "odd": "unknown-runner", "long": "not-two-tokens"}
+    assert got == {"go": "supported", "all": "shell-syntax-or-quoting", "opt": "missing-literal-source-target", "out": "target-outside-repository", "odd": "unsupported-direct-runner", "long": "not-a-direct-runner-and-source-target"}
 
 
 def test_divergence(spark):
