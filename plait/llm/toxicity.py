@@ -7,7 +7,8 @@ before it in its word.  Its lower order, the continuation distribution of
 pieces, backs off to one that is shared: pooled continuation counts of both
 classes, so that rare expressions are smoothed alike in both and don't speak
 for either.  A text's evidence is the difference of its log-likelihoods for
-each token, of the whole text and of its most toxic stretch; a logistic curve
+each token, of the whole text, of its most toxic stretch and of the most toxic
+beginning of a word; a logistic curve
 fitted on a part of the sample that the models have not seen turns it into a
 score.
 """
@@ -79,7 +80,11 @@ class Model:
     curve: np.ndarray
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Features of each text: difference for each token, and the same on its most toxic stretch."""
+        """Features of each text: difference for each token, the same on its most toxic stretch, and the most toxic beginning of a word.
+
+        A pair that comes again in a text counts where it first stood; what a
+        text repeats says no more than once.
+        """
         if "ids" not in self.__dict__:
             self.__dict__["ids"] = Ids(self.vocabulary)
         get = self.__dict__["ids"].__getitem__
@@ -92,13 +97,18 @@ class Model:
         key = before * len(self.first) + words
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         far = self.weight[0, before] - self.weight[1, before] + self.single[0, words] - self.single[1, words]
-        sums = np.concatenate([[0.0], np.cumsum(np.where(self.keys[at] == key, self.ratio[at], far))])
-        mean = (sums[end] - sums[end - count]) / np.maximum(count, 1)
-        tops = np.zeros(len(lots))
+        each = np.where(self.keys[at] == key, self.ratio[at], far)
+        starts = np.where(self.first[words], each, 0.0)
+        mean, tops, most = np.zeros((3, len(lots)))
         for i, (a, b) in enumerate(zip(end - count, end, strict=True)):
-            step = min(STRETCH, b - a)
-            tops[i] = (sums[a + step : b + 1] - sums[a : b + 1 - step]).max() / STRETCH
-        return np.stack([mean, tops, np.ones(len(lots))], 1)
+            if a < b:
+                kept = np.sort(np.unique(key[a:b], return_index=True)[1])
+                sums = np.concatenate([[0.0], np.cumsum(each[a:b][kept])])
+                step = min(STRETCH, len(kept))
+                mean[i] = sums[-1] / len(kept)
+                tops[i] = (sums[step:] - sums[:-step]).max() / STRETCH
+                most[i] = starts[a:b].max() / 10
+        return np.stack([mean, tops, most, np.ones(len(lots))], 1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.evidence(texts) @ self.curve, -500, 500)))
@@ -120,10 +130,15 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
     first = np.array([w[:1] == "^" for w in vocabulary] + [False, True])
     tables = []
     for k in (1, 0):
-        ids = np.array([vocabulary[w] for x, p, c in zip(lots, part, y, strict=True) if p and c == k for w in x], np.int64)
-        before = np.concatenate([[START], ids[:-1]])[: len(ids)]
-        before[first[ids]] = START
-        tables.append(np.unique(before * size + ids, return_counts=True))
+        # A text counts once for each pair that it holds.
+        held_pairs = [np.zeros(0, np.int64)]
+        for x, p, c in zip(lots, part, y, strict=True):
+            if p and c == k:
+                ids = np.array([vocabulary[w] for w in x], np.int64)
+                before = np.concatenate([[START], ids[:-1]])[: len(ids)].astype(np.int64)
+                before[first[ids]] = START
+                held_pairs.append(np.unique(before * size + ids))
+        tables.append(np.unique(np.concatenate(held_pairs), return_counts=True))
     both = np.unique(np.concatenate([k for k, _ in tables]))
     # Continuation counts: the kinds of pieces that follow a piece or come before it.
     kinds_of = lambda keys: np.bincount(keys % size, minlength=size) + np.bincount(keys // size, minlength=size) * (np.arange(size) != START)
@@ -142,7 +157,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
         full = np.exp(weight[i][both // size] + single[i][both % size])
         full[np.searchsorted(both, keys)] += (count - off) / n[context]
         log_seen.append(np.log(full))
-    model = Model(vocabulary, both if len(both) else np.array([-1]), log_seen[0] - log_seen[1] if len(both) else np.zeros(1), single, weight, first, np.zeros(3))
+    model = Model(vocabulary, both if len(both) else np.array([-1]), log_seen[0] - log_seen[1] if len(both) else np.zeros(1), single, weight, first, np.zeros(4))
     held = part == 0
     if not held.any() or len(set(y[held])) < 2:
         held[:] = True
@@ -151,7 +166,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
         model.curve = logistic(x, y[held], y[held].mean() if share is None else share)
     else:
         share = min(0.999, max(0.001, y.mean() if len(y) else 0))
-        model.curve = np.array([0, 0, np.log(share / (1 - share))])
+        model.curve = np.array([0, 0, 0, np.log(share / (1 - share))])
     return model
 
 
