@@ -593,6 +593,19 @@ def timeline(spark, d):
     return journal.timeline(spark.range(20).withColumnRenamed("id", "user_id"), e, "user_id", "ts", "event_id").select("event_id", "user_id", "position")
 
 
+@query("SELECT user_id, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
+def stream_counts(spark, d):
+    """Counts kept by a stream over the files of events; the state is written after each micro-batch."""
+    from ..session import scratch_path
+    from ..streaming.journal import each_batch
+
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    counts = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    out = scratch_path(spark, "stream-counts")
+    each_batch(counts, lambda df, _: df.write.mode("overwrite").parquet(out), scratch_path(spark, "stream-checkpoint"), "complete")
+    return spark.read.schema(counts.schema).parquet(out)
+
+
 # Sources, extraction and resolution.
 
 

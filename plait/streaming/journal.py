@@ -50,8 +50,8 @@ def follow_runs(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(step, SUMMARY, kept, "update", GroupStateTimeout.NoTimeout)
 
 
-def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], Any], checkpoint: str):
+def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], Any], checkpoint: str, mode: str = "update"):
     """Run all that is there in micro-batches, each given once to ``apply``; returns the finished query."""
-    query = stream.writeStream.outputMode("update" if stream.isStreaming else "append").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
