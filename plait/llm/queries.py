@@ -101,7 +101,7 @@ s AS (SELECT shard, sum(size) AS bytes FROM d GROUP BY shard),
 t AS (SELECT *, ((length(bin(bytes::BIGINT)) - 1) // 2)::INTEGER AS tier FROM s),
 m AS (SELECT *, count(*) OVER (PARTITION BY tier) >= {sharding.FAN_IN} AND bytes < {sharding.TARGET_BYTES} AS merged FROM t),
 p AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY tier, merged ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM m),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard ORDER BY doc_id, md5(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own FROM d)
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard ORDER BY doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own FROM d)
 SELECT doc_id, o.shard AS arrival, tier, CASE WHEN merged THEN 't' || tier || '-' || floor((ahead + own) / {sharding.TARGET_BYTES})::BIGINT ELSE 's' || o.shard END AS target_file, sha256(text) AS text_sha256
 FROM o JOIN p USING (shard)
 """

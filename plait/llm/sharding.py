@@ -121,16 +121,23 @@ def append(store: ManifestStore, docs: DataFrame, key: str = "doc_id", rows: int
 def assign(rows: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """``rows`` (with ``shard``) with the columns ``tier`` and ``target_file`` of the compacted version.
 
-    A shard's rows are walked in order of keys; a shard is a bounded number of
-    keys, so this window never holds more than one shard.  Rows that repeat a
-    key are ordered by their text.
+    A shard's rows are walked in order of keys, rows that share a key together
+    and null keys first.  The walk sees keys and sizes only, and a shard is a
+    bounded number of keys; what comes of it is the first key of each file
+    that a shard's rows go to, a few rows a shard, with which the rows
+    themselves find their file without being moved.
     """
-    sizes = rows.groupBy("shard").agg(F.sum(row_bytes(text)).alias("bytes"), F.count("*").alias("rows"))
-    planned = plan(sizes, target, fan_in).select("shard", "tier", "merged", "ahead")
-    within = Window.partitionBy("shard").orderBy(key, F.md5(F.coalesce(F.col(text), F.lit("")))).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_own", F.coalesce(F.sum(row_bytes(text)).over(within), F.lit(0))).join(planned, "shard")
-    number = F.floor((F.col("ahead") + F.col("_own")) / target)
-    return placed.withColumn("target_file", F.when(F.col("merged"), F.concat(F.lit("t"), F.col("tier"), F.lit("-"), number)).otherwise(F.concat(F.lit("s"), F.col("shard")))).drop("_own", "ahead", "merged")
+    place = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    keys = rows.groupBy("shard", place.alias("_key")).agg(F.sum(row_bytes(text)).alias("bytes"), F.count("*").alias("rows"))
+    planned = plan(keys.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), target, fan_in).select("shard", "tier", "merged", "ahead")
+    within = Window.partitionBy("shard").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    walked = keys.withColumn("own", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(planned, "shard")
+    number = F.when(F.col("merged"), F.floor((F.col("ahead") + F.col("own")) / target)).otherwise(-1)
+    firsts = walked.groupBy("shard", "tier", number.alias("number")).agg(F.min("_key").alias("first"))
+    bounds = firsts.groupBy("shard", "tier").agg(F.array_sort(F.collect_list(F.struct("first", "number"))).alias("_bounds"))
+    placed = rows.join(bounds, "shard")
+    found = F.element_at(F.filter("_bounds", lambda b: b["first"] <= place), -1)["number"]
+    return placed.withColumn("target_file", F.when(found >= 0, F.concat(F.lit("t"), F.col("tier"), F.lit("-"), found)).otherwise(F.concat(F.lit("s"), F.col("shard")))).drop("_bounds")
 
 
 def compact(store: ManifestStore, key: str = "doc_id", text: str = "text", target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> int:
