@@ -247,8 +247,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     def totals(bucket, _, blobs):
         """Customers and tables of each context, by sample; the last row holds the words known."""
-        import pyarrow as pa
-
         hashes, word, context, count, _ = merge_questions(blobs)
         cells = 2**CONTEXT_BITS
         table = np.zeros((cells + 1, 1 + SAMPLES), np.int64)
@@ -256,10 +254,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         for k, tables in enumerate(sweeps(bucket, len(hashes), word, context, count, 1 / buckets, seed)):
             table[:cells, k + 1] = np.bincount(context, tables, cells)
         table[cells, 0] = (np.bincount(word, count, len(hashes)) > 0).sum()
+        yield table
+
+    def totals_of_task(batches):
+        """The sum over a task's buckets: a task gives a row for each context at most once."""
+        import pyarrow as pa
+
+        cells, table = 2**CONTEXT_BITS, None
+        for own in by_bucket(totals)(batches):
+            table = own if table is None else table + own
+        if table is None:
+            return
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells + 1)), *(pa.array(table[:, k]) for k in range(1 + SAMPLES))], names=["context", "n", *samples])
 
     dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    summed = dealt.mapInArrow(by_bucket(totals), "context long, n long, " + ", ".join(f"{t} long" for t in samples)).groupBy("context").agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in samples])
+    summed = dealt.mapInArrow(totals_of_task, "context long, n long, " + ", ".join(f"{t} long" for t in samples)).groupBy("context").agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in samples])
     cells = 2**CONTEXT_BITS
     table = np.zeros((cells + 1, 1 + SAMPLES), np.int64)
     for r in summed.collect():  # one row for each context
