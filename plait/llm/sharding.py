@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .common import materialise
+
 SHARD_ROWS = 4096
 TARGET_BYTES = 64_000_000
 FAN_IN = 4
+#: Shards up to which their bounds, some 100 bytes each, are broadcast.
+BROADCAST_SHARDS = 200_000
 
 
 class ManifestStore:
@@ -125,7 +129,9 @@ def assign(rows: DataFrame, key: str = "doc_id", text: str = "text", target: int
     and null keys first.  The walk sees keys and sizes only, and a shard is a
     bounded number of keys; what comes of it is the first key of each file
     that a shard's rows go to, a few rows a shard, with which the rows
-    themselves find their file without being moved.
+    themselves find their file without being moved, as long as there are no
+    more than ``BROADCAST_SHARDS`` shards; beyond that they are joined by
+    shuffling.
     """
     place = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     keys = rows.groupBy("shard", place.alias("_key")).agg(F.sum(row_bytes(text)).alias("bytes"), F.count("*").alias("rows"))
@@ -135,7 +141,8 @@ def assign(rows: DataFrame, key: str = "doc_id", text: str = "text", target: int
     number = F.when(F.col("merged"), F.floor((F.col("ahead") + F.col("own")) / target)).otherwise(-1)
     firsts = walked.groupBy("shard", "tier", number.alias("number")).agg(F.min("_key").alias("first"))
     bounds = firsts.groupBy("shard", "tier").agg(F.array_sort(F.collect_list(F.struct("first", "number"))).alias("_bounds"))
-    placed = rows.join(bounds, "shard")
+    bounds = materialise(bounds, "bounds")
+    placed = rows.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_SHARDS else bounds, "shard")
     found = F.element_at(F.filter("_bounds", lambda b: b["first"] <= place), -1)["number"]
     return placed.withColumn("target_file", F.when(found >= 0, F.concat(F.lit("t"), F.col("tier"), F.lit("-"), found)).otherwise(F.concat(F.lit("s"), F.col("shard")))).drop("_bounds")
 
