@@ -19,6 +19,8 @@ from .common import LOWER, UPPER, drop_path, materialise, shared_path
 
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` as Java reads it.
 TERM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same terms in a text that is not lower-cased yet: enough to count them.
+ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 PHRASE = 13
 #: Lists that are intersected for each phrase before it is verified.
 RAREST = 3
@@ -51,38 +53,44 @@ def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
 
 
 def rarest_terms(lots: DataFrame, terms: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """``(phrase, term_id, offset, lists)``: the rarest terms of each phrase; phrases with a term of no posting are gone, as they occur nowhere."""
+    """``(phrase, term_id, offset, rank, lists)``: the rarest terms of each phrase, ranked from 1; phrases with a term of no posting are gone, as they occur nowhere."""
     counts = index.groupBy("term_id").count().withColumnRenamed("count", "n")
     known = terms.join(counts, "term_id", "left").select("term", "term_id", F.coalesce("n", F.lit(0)).alias("n"))
     each = lots.select("phrase", F.posexplode("words").alias("offset", "term")).join(known, "term")
     own = Window.partitionBy("phrase")
     ranked = each.withColumn("least", F.min("n").over(own)).where("least > 0").withColumn("rank", F.row_number().over(own.orderBy("n", "term", "offset")))
-    return ranked.where(F.col("rank") <= rarest).withColumn("lists", F.count("*").over(own)).select("phrase", "term_id", "offset", "lists")
+    return ranked.where(F.col("rank") <= rarest).withColumn("lists", F.count("*").over(own)).select("phrase", "term_id", "offset", "rank", "lists")
 
 
 def exact_places(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
     """One row per document: ``id``, ``n_words``, ``places`` (array of ``(start, length, item)``: exact places of phrases; empty if there are none).
 
     Null texts have no words; repeated rows of a key, null keys among them,
-    are one document each, but share their candidates.
+    are one document each.  Candidates are looked up by the hash of a row's
+    text, so only rows of equal text share them, whatever their keys are.
     """
     spark = docs.sparkSession
     found = phrases(benchmark, item, item_text, length)
     # Equal phrases of several items are looked up once.
     lots = materialise(found.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     terms = materialise(lots.select(F.explode("words").alias("term")).distinct().withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("int")), "terms")
-    index, path = build_index(docs, terms, key, text)
+    by_text = F.xxhash64(F.col(text))
+    index, path = build_index(docs.select(by_text.alias("id"), F.col(text).alias("t")), terms, "id", "t")
     chosen = rarest_terms(lots, terms, index)
-    moved = index.join(materialise(chosen, "rarest"), "term_id").select("phrase", "lists", "id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    candidates = moved.groupBy("phrase", "id", "start").agg(F.count("*").alias("met"), F.first("lists").alias("lists")).where("met = lists").select("phrase", "id", "start")
+    moved = index.join(materialise(chosen, "rarest"), "term_id").select("phrase", "rank", "lists", "id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    # Rows of equal text repeat their postings: lists are told apart by a bit each, not counted.
+    candidates = moved.groupBy("phrase", "id", "start").agg(F.bit_or(F.expr("shiftleft(1L, rank - 1)")).alias("met"), F.first("lists").alias("lists")).where("bit_count(met) = lists").select("phrase", "id", "start")
     candidates = materialise(candidates, "candidates")
     drop_path(spark, path)
     wanted = candidates.join(lots, "phrase").groupBy("id").agg(F.collect_list(F.struct("start", "words", "items")).alias("wanted"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", terms_of("t").alias("w"), "wanted")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), by_text.alias("by_text")).join(wanted.withColumnRenamed("id", "by_text"), "by_text", "left")
+    # Only rows with candidates need their words; of the others they are counted.
+    rows = rows.select("id", "t", "wanted", F.when(F.col("wanted").isNotNull(), terms_of("t")).alias("w"))
+    n_words = F.when(F.col("wanted").isNotNull(), F.size("w")).otherwise(F.expr(f"size(regexp_extract_all(coalesce(t, ''), '{ANY_CASE}', 0))".replace("\\", "\\\\")))
     none = F.array().cast(wanted.schema["wanted"].dataType)
     right = F.filter(F.coalesce("wanted", none), lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
     places = F.transform(right, lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("length"), c["items"].alias("items")))
-    return rows.select("id", F.size("w").cast("long").alias("n_words"), places.alias("places"))
+    return rows.select("id", n_words.cast("long").alias("n_words"), places.alias("places"))
 
 
 def proximity_places(docs: DataFrame, benchmark: DataFrame, slop: int = 5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:

@@ -176,6 +176,18 @@ def test_decontamination(spark):
     assert {r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {False}
 
 
+def test_decontamination_of_repeated_and_null_keys(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    other = "one a b c d e f g h i j k l m n two"
+    rows = [(1, passage), (1, passage), (2, passage), (2, "clean words"), (2, other), (None, passage), (None, passage), (None, "one"), (None, "x two three"), (None, other), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, bench).collect())
+    want = slow_contamination([t for _, t in rows], [(1, passage)])
+    assert got == sorted((k or 0, want[i][0], want[i][1], want[i][3]) for i, (k, _) in enumerate(rows))
+    assert sum(c for *_, c in got) == 5
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "red fox jumps high")], "item_id long, text string")
     docs = documents(spark, ["red fox jumps high", "red quick fox jumps so high", "red fox then a very long way until it jumps high", "fox red"])
