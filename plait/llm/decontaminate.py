@@ -63,7 +63,7 @@ def rarest_terms(lots: DataFrame, terms: DataFrame, index: DataFrame, rarest: in
 
 
 def exact_places(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
-    """One row per document: ``id``, ``n_words``, ``places`` (array of ``(start, length, item)``: exact places of phrases; empty if there are none).
+    """One row per document: ``id``, ``n_words``, ``places`` (array of ``(start, length, item)``: exact places of phrases; empty if there are none), ``row`` (the document's columns).
 
     Null texts have no words; repeated rows of a key, null keys among them,
     are one document each.  Candidates are looked up by the hash of a row's
@@ -83,14 +83,14 @@ def exact_places(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     candidates = materialise(candidates, "candidates")
     drop_path(spark, path)
     wanted = candidates.join(lots, "phrase").groupBy("id").agg(F.collect_list(F.struct("start", "words", "items")).alias("wanted"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), by_text.alias("by_text")).join(wanted.withColumnRenamed("id", "by_text"), "by_text", "left")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), by_text.alias("by_text"), F.struct("*").alias("row")).join(wanted.withColumnRenamed("id", "by_text"), "by_text", "left")
     # Only rows with candidates need their words; of the others they are counted.
-    rows = rows.select("id", "t", "wanted", F.when(F.col("wanted").isNotNull(), terms_of("t")).alias("w"))
+    rows = rows.select("id", "t", "row", "wanted", F.when(F.col("wanted").isNotNull(), terms_of("t")).alias("w"))
     n_words = F.when(F.col("wanted").isNotNull(), F.size("w")).otherwise(F.expr(f"size(regexp_extract_all(coalesce(t, ''), '{ANY_CASE}', 0))".replace("\\", "\\\\")))
     none = F.array().cast(wanted.schema["wanted"].dataType)
     right = F.filter(F.coalesce("wanted", none), lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
     places = F.transform(right, lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("length"), c["items"].alias("items")))
-    return rows.select("id", n_words.cast("long").alias("n_words"), places.alias("places"))
+    return rows.select("id", n_words.cast("long").alias("n_words"), places.alias("places"), "row")
 
 
 def proximity_places(docs: DataFrame, benchmark: DataFrame, slop: int = 5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
@@ -112,6 +112,20 @@ def proximity_places(docs: DataFrame, benchmark: DataFrame, slop: int = 5, key:
     return met.join(lots.select("phrase", "item"), "phrase").select("id", "item", "start").distinct()
 
 
+def flagged(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE, share: int = 20) -> DataFrame:
+    """The columns of ``contamination`` and ``row``, the document's own columns."""
+    rows = exact_places(docs, benchmark, key, text, item, item_text, length)
+    hit = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))).cast("long")
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(p["items"], lambda i: i.cast("string"))))))
+    rows = rows.select(F.col("id").alias(key), "n_words", hit.alias("n_hit"), items.alias("items"), "row")
+    return rows.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "row")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, each judged by its own row: keys may repeat and be null."""
+    return flagged(docs, benchmark, key, text).where("not contaminated").select("row.*")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE, share: int = 20) -> DataFrame:
     """One row per document: key, ``n_words``, ``n_hit``, ``n_items``, ``items``, ``contaminated``.
 
@@ -120,8 +134,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     are the items with places, in order of their strings.  Empty benchmarks
     and texts give no hits.
     """
-    rows = exact_places(docs, benchmark, key, text, item, item_text, length)
-    hit = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))).cast("long")
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(p["items"], lambda i: i.cast("string"))))))
-    rows = rows.select(F.col("id").alias(key), "n_words", hit.alias("n_hit"), items.alias("items"))
-    return rows.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return flagged(docs, benchmark, key, text, item, item_text, length, share).drop("row")

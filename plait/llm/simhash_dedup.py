@@ -167,3 +167,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     gone = simhash_groups(docs, key, text).where("not kept").select(key)
     return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one document of each group of near copies: the one with the smallest key, a null key coming last.
+
+    Rows are told apart by a number written with them, so repeated and null
+    keys leave one row too; among rows of one key the text's hash decides.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash_groups(rows, "_row", text).select("_row", "component_id")
+    keys = rows.select("_row", F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), "_row").alias("order"))
+    first = groups.join(keys, "_row").groupBy("component_id").agg(F.min("order").alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

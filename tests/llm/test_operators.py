@@ -79,6 +79,20 @@ def test_simhash(spark):
     assert keyless.count() == 3
 
 
+def test_pipeline_stages_with_repeated_and_null_keys(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(None, "a b c"), (None, "a b c"), (1, "d e f"), (1, "d e f"), (2, "d e f"), (None, "d e f"), (3, "other words here"), (None, passage), (4, passage), (4, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, "a b c"), (1, "d e f"), (3, "other words here"), (4, passage), (4, "x y z")]
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if r[1] != passage), key=str)
+
+
 def test_bpe_equals_the_library(spark):
     import random
 
