@@ -53,19 +53,26 @@ def retained_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("id", "source"), "source", "left_semi").join(keep.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def cooccurrence(tokens: DataFrame, key: str, token: str, least: int = 2, top: int = 12, common: int = 1000) -> DataFrame:
+def cooccurrence(tokens: DataFrame, key: str, token: str, least: int = 2, top: int = 12) -> DataFrame:
     """For each key its ``top`` others by shared distinct tokens, at least ``least`` of them.
 
-    A token that more than ``common`` keys have says nothing of a relation and
-    would pair all of them; such stop tokens are found by a count, and left
-    out on both sides.
+    All tokens count, however frequent.  Keys of equal token sets are one group
+    and groups are paired, so that copies do not multiply; a group's list is
+    longer by one than ``top``, for the key itself is in its own group.
     """
-    rows = tokens.select(F.col(key).alias("a"), F.col(token).alias("t")).distinct()
-    telling = rows.groupBy("t").count().where(F.col("count").between(2, common)).select("t")
-    rows = rows.join(telling, "t", "left_semi")
-    pairs = rows.join(rows.withColumnRenamed("a", "b"), "t").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    rows = tokens.select(F.col(key).alias("a"), F.col(token).alias("t")).where("t is not null").distinct()
+    sets = rows.groupBy("a").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    within = Window.partitionBy("ts").orderBy("a")
+    members = sets.select("a", F.first("a").over(within).alias("g"), F.row_number().over(within).alias("n"), "ts")
+    each = members.where("n = 1").select("g", F.explode("ts").alias("t"))
+    pairs = each.join(each.withColumnRenamed("g", "h"), "t").groupBy("g", "h").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    # A group is named by its least key, so the best groups hold the best keys.
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("shared"), "h"))).where(F.col("r") <= top + 1).drop("r")
+    others = members.where(F.col("n") <= top + 1).select(F.col("g").alias("h"), F.col("a").alias("b"))
+    listed = best.join(others, "h").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("shared"), "b"))).where(F.col("r") <= top + 1).select("g", "b", "shared")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
+    found = members.select("a", "g").join(listed, "g").where("a <> b").select("a", "b", "shared")
+    return found.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def anti_catalog(spark, d):
  SELECT * FROM (SELECT a, b, shared, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM p) WHERE rank <= 12""")
 def cooccurrence(spark, d):
     tokens = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:class|id|href)="([^"]{3,120})"'), 1)).alias("token"))
-    return joins.cooccurrence(tokens, "page_id", "token", common=200)
+    return joins.cooccurrence(tokens, "page_id", "token")
 
 
 @query("""WITH e AS (SELECT user_id, event_type, event_id, value FROM events) SELECT user_id, event_type, min(event_id) AS event_id, arg_max(value, event_id) AS value FROM e GROUP BY ALL""")

@@ -192,3 +192,21 @@ def test_queries_equal_duckdb(spark):
         cur = con.execute(queries.SQL[name])
         at = [[c[0] for c in cur.description].index(c) for c in columns]
         assert sorted(text(r[c] for c in columns) for r in df.collect()) == sorted(text(r[i] for i in at) for r in cur.fetchall()), name
+
+
+def test_cooccurrence_counts_all_tokens(spark):
+    import random
+
+    rng = random.Random(5)
+    held = {k: {"x", *rng.sample("abcdef", rng.randint(1, 3))} for k in range(260)} | {300: {"x"}, 301: {"y", "z"}, 302: {"q"}}
+    want = set()
+    for a, own in held.items():
+        others = sorted((-len(own & x), b) for b, x in held.items() if b != a and len(own & x) >= 2)[:12]
+        want |= {(a, b, -n, i + 1) for i, (n, b) in enumerate(others)}
+    rows = [(k, t) for k, ts in held.items() for t in ts] * 2 + [(1, None)]
+    got = joins.cooccurrence(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    assert got.columns == ["a", "b", "shared", "rank"]
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 12 * 250
+    # As long as a token is held by more keys than any cut, it still counts.
+    wide = spark.range(1500).selectExpr("id as k", "explode(array('v', 'w')) as t")
+    assert joins.cooccurrence(wide, "k", "t").count() == 12 * 1500
