@@ -3,13 +3,18 @@
 Tokens are pieces of words, four letters each from a word's start, so that
 expressions never seen as a whole still share pieces with those that were.
 Both classes have an interpolated Kneser-Ney model of a piece after the one
-before it in its word.  Its lower order, the continuation distribution of
-pieces, backs off to one that is shared: pooled continuation counts of both
-classes, so that rare expressions are smoothed alike in both and don't speak
-for either.  A text's evidence is the difference of its log-likelihoods for
-each token, of the whole text, of its most toxic stretch and of the most toxic
-beginning of a word; a logistic curve
-fitted on a part of the sample that the models have not seen turns it into a
+before it in its word; a word's first piece follows the word's start.  Its
+lower order, the continuation distribution of pieces, backs off to one that is
+shared: pooled continuation counts of both classes, so that rare expressions
+are smoothed alike in both and don't speak for either.
+
+A text's evidence compares length-normalised log-likelihoods: the toxic
+model's minus the ordinary model's, over a stretch of the text, divided by the
+stretch's length and ``NEUTRAL`` tokens more, for which neither model speaks.
+Stretches have ``LENGTHS`` pieces, or are the whole text, and run over words;
+the stretch that speaks most for toxicity decides, since a few toxic
+expressions make a long text toxic.  A logistic curve of this one number,
+fitted on a part of the sample that the models have not seen, turns it into a
 score.
 """
 
@@ -23,12 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import materialise, worker_cache
 
-#: Bound of the sample: labelled texts of each class, and characters of each.
+#: Bound of the sample: labelled texts of each class.
 SAMPLE_TEXTS = 4000
-SAMPLE_CHARS = 20_000
-STRETCH = 12
+LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 256)
+NEUTRAL = 1
+DISCOUNT = 0.75
 START = 0
 
 
@@ -58,13 +64,9 @@ class Ids(dict):
         return i
 
 
-def discounts(count: np.ndarray) -> np.ndarray:
-    """Discounts of each count by counts of counts (Chen and Goodman, 1999), kept between a half and the count."""
-    n = [max(1.0, float((count == k).sum())) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([0.0, *(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))])
-    d[1:] = np.clip(d[1:], 0.5, [0.95, 1.9, 2.8])
-    return d[np.minimum(count, 3).astype(int)]
+def discounted(count: np.ndarray) -> np.ndarray:
+    """What each count gives to the lower order."""
+    return np.minimum(count, DISCOUNT)
 
 
 @dataclass
@@ -79,36 +81,30 @@ class Model:
     first: np.ndarray  # whether a piece starts a word
     curve: np.ndarray
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """Features of each text: difference for each token, the same on its most toxic stretch, and the most toxic beginning of a word.
-
-        A pair that comes again in a text counts where it first stood; what a
-        text repeats says no more than once.
-        """
+    def differences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood differences, toxic minus ordinary, of all pieces of all texts, and pieces of each text."""
         if "ids" not in self.__dict__:
             self.__dict__["ids"] = Ids(self.vocabulary)
         get = self.__dict__["ids"].__getitem__
         lots = [np.fromiter(map(get, x), np.int64, len(x)) for x in map(pieces, texts)]
-        count = np.array([len(x) for x in lots])
-        end = np.cumsum(count)
         words = np.concatenate([*lots, np.zeros(0, np.int64)])
+        # A text's first piece always starts a word.
         before = np.concatenate([[START], words[:-1]])[: len(words)]
         before[self.first[words]] = START
         key = before * len(self.first) + words
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         far = self.weight[0, before] - self.weight[1, before] + self.single[0, words] - self.single[1, words]
-        each = np.where(self.keys[at] == key, self.ratio[at], far)
-        starts = np.where(self.first[words], each, 0.0)
-        mean, tops, most = np.zeros((3, len(lots)))
+        return np.where(self.keys[at] == key, self.ratio[at], far), np.array([len(x) for x in lots], int)
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """The greatest length-normalised difference of a stretch of each text; 0 for texts without pieces."""
+        each, count = self.differences(texts)
+        out, sums, end = np.zeros(len(count)), np.concatenate([[0.0], np.cumsum(each)]), np.cumsum(count)
         for i, (a, b) in enumerate(zip(end - count, end, strict=True)):
             if a < b:
-                kept = np.sort(np.unique(key[a:b], return_index=True)[1])
-                sums = np.concatenate([[0.0], np.cumsum(each[a:b][kept])])
-                step = min(STRETCH, len(kept))
-                mean[i] = sums[-1] / len(kept)
-                tops[i] = (sums[step:] - sums[:-step]).max() / STRETCH
-                most[i] = starts[a:b].max() / 10
-        return np.stack([mean, tops, most, np.ones(len(lots))], 1)
+                own = sums[a : b + 1]
+                out[i] = max((own[k:] - own[:-k]).max() / (k + NEUTRAL) for k in (*(k for k in LENGTHS if k < b - a), int(b - a)))
+        return np.stack([out, np.ones(len(out))], 1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.evidence(texts) @ self.curve, -500, 500)))
@@ -130,14 +126,13 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
     first = np.array([w[:1] == "^" for w in vocabulary] + [False, True])
     tables = []
     for k in (1, 0):
-        # A text counts once for each pair that it holds.
         held_pairs = [np.zeros(0, np.int64)]
         for x, p, c in zip(lots, part, y, strict=True):
             if p and c == k:
                 ids = np.array([vocabulary[w] for w in x], np.int64)
                 before = np.concatenate([[START], ids[:-1]])[: len(ids)].astype(np.int64)
                 before[first[ids]] = START
-                held_pairs.append(np.unique(before * size + ids))
+                held_pairs.append(before * size + ids)
         tables.append(np.unique(np.concatenate(held_pairs), return_counts=True))
     both = np.unique(np.concatenate([k for k, _ in tables]))
     # Continuation counts: the kinds of pieces that follow a piece or come before it.
@@ -147,17 +142,17 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
     single, weight, log_seen = np.zeros((2, size)), np.zeros((2, size)), []
     for i, (keys, count) in enumerate(tables):
         kinds = kinds_of(keys)
-        p = np.maximum(kinds - discounts(kinds), 0) / max(1, kinds.sum())
+        p = np.maximum(kinds - discounted(kinds), 0) / max(1, kinds.sum())
         p += (1 - p.sum()) * shared
         single[i] = np.log(p)
         context, word = keys // size, keys % size
         n = np.bincount(context, count, size)
-        off = discounts(count)
+        off = discounted(count)
         weight[i] = np.log(np.where(n > 0, np.bincount(context, off, size) / np.maximum(n, 1), 1.0))
         full = np.exp(weight[i][both // size] + single[i][both % size])
         full[np.searchsorted(both, keys)] += (count - off) / n[context]
         log_seen.append(np.log(full))
-    model = Model(vocabulary, both if len(both) else np.array([-1]), log_seen[0] - log_seen[1] if len(both) else np.zeros(1), single, weight, first, np.zeros(4))
+    model = Model(vocabulary, both if len(both) else np.array([-1]), log_seen[0] - log_seen[1] if len(both) else np.zeros(1), single, weight, first, np.zeros(2))
     held = part == 0
     if not held.any() or len(set(y[held])) < 2:
         held[:] = True
@@ -166,7 +161,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
         model.curve = logistic(x, y[held], y[held].mean() if share is None else share)
     else:
         share = min(0.999, max(0.001, y.mean() if len(y) else 0))
-        model.curve = np.array([0, 0, 0, np.log(share / (1 - share))])
+        model.curve = np.array([0, np.log(share / (1 - share))])
     return model
 
 
@@ -185,27 +180,37 @@ def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-4) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_texts: int = SAMPLE_TEXTS) -> Model:
-    """A model from at most ``sample_texts`` labelled texts of each class.
+    """A model from at most ``sample_texts`` labelled texts of each class, whole ones.
 
     ``labels`` has key and label (1 or 0; other values and nulls are passed
     over, contradicting rows of a key count each).  The texts are those with
-    the smallest hash of their key in each of ``sample_texts`` cells.
+    the smallest hash of their key in each of ``sample_texts`` cells, among
+    keys that ``docs`` has; the share of toxic keys is taken of those too.
+    Labels and documents that must not teach are the caller's to leave out.
+    Null texts count as empty; of rows that share a key the least text is
+    taken, so that a repeated key is one text.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    marked = marked.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi")
     cell = F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(sample_texts))
     # The keys are chosen first, so that only the sample's texts are gathered.
-    chosen = marked.groupBy("_label", cell.alias("cell")).agg(F.min(F.struct(F.xxhash64(F.lit(2), "_key"), "_key")).alias("m")).select("_label", F.col("m._key").alias("_key"))
-    rows = own.join(F.broadcast(chosen), "_key").select("_key", "_label", F.substring("_text", 1, SAMPLE_CHARS).alias("t"))
-    picked = sorted({(r["t"], r["_label"]) for r in rows.collect()})
-    share = marked.agg(F.avg("_label")).first()[0]
-    return fit([t for t, _ in picked], [c for _, c in picked], share)
+    picked = marked.groupBy("_label", cell.alias("cell")).agg(F.min(F.struct(F.xxhash64(F.lit(2), "_key"), "_key")).alias("m"), F.count("*").alias("n"))
+    picked = materialise(picked.select("_label", F.col("m._key").alias("_key"), "n"), "labelled")
+    total = {r["_label"]: r["n"] for r in picked.groupBy("_label").agg(F.sum("n").alias("n")).collect()}
+    own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # At most two rows of 16 bytes a cell.
+    rows = own.join(F.broadcast(picked), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("t"))
+    taken = sorted((r["t"], r["_label"]) for r in rows.collect())
+    return fit([t for t, _ in taken], [c for _, c in taken], total.get(1, 0) / sum(total.values()) if total else None)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted", threshold: float = 0.3) -> DataFrame:
     """``docs`` with the score of whole texts (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
-    Null texts count as empty.  Columns of the added names are replaced.
+    Null texts count as empty, and empty ones have no evidence for either
+    class.  Every row is scored by its text alone: repeated rows score alike,
+    null and repeated keys stay, an empty table gives an empty one.  Columns of
+    the added names are replaced.
     """
     import pickle
 

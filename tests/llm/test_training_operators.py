@@ -284,5 +284,56 @@ def test_toxicity(spark):
     assert sum(got[i].predicted == int(i % 5 == 0) for i in test) >= 0.97 * len(test)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
     assert got[900].score == got[901].score and 0 < got[902].score < 1
+    again = docs.union(docs.where("doc_id < 20")).union(spark.createDataFrame([(None, "the and"), (None, None)], "doc_id long, text string").withColumn("score", F.lit("x")))
+    assert toxicity.score_toxicity(again, model).where("doc_id < 20").distinct().count() == 20
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
     none = toxicity.train(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score_toxicity(docs.limit(5), none).collect()} == {0}
+
+
+def test_kneser_ney_by_brute_force():
+    """Differences of both models, piece by piece, from the formulas with dictionaries."""
+    from collections import Counter
+    from math import log
+
+    d = toxicity.DISCOUNT
+    toxic, ordinary = ["you absolute fool, you fool", "such a fool fool"], ["the absolute reason", "reasons and such", "the the end"]
+    model = toxicity.fit(toxic + ordinary, [1, 1, 0, 0, 0])
+    part = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5 for t in toxic + ordinary]
+    taught = lambda lot, at: [t for t, p in zip(lot, part[at:], strict=False) if p]
+    lots = taught(toxic, 0), taught(ordinary, 2)
+    if not all(lots):
+        lots = toxic, ordinary
+
+    def pairs(text):
+        before = ""
+        for p in map(toxicity.canonical, toxicity.pieces(text)):
+            yield ("" if p[0] == "^" else before), p
+            before = p
+
+    seen = [Counter(x for t in lot for x in pairs(t)) for lot in lots]
+    vocabulary = {p for c in seen for _, p in c} | {"", "unknown", "^unknown"}
+
+    def kinds(c):
+        own = Counter(w for _, w in c)
+        own.update(h for h, _ in c if h)
+        return own
+
+    both = kinds(seen[0] | seen[1])
+    shared = {w: (both[w] + 1) / (sum(both.values()) + len(vocabulary)) for w in vocabulary}
+
+    def p(k, h, w):
+        own = kinds(seen[k])
+        low = {v: max(own[v] - d, 0) / sum(own.values()) for v in vocabulary}
+        p = low[w] + (1 - sum(low.values())) * shared[w]
+        n = sum(c for (x, _), c in seen[k].items() if x == h)
+        c = seen[k][h, w]
+        return (max(c - d, 0) + sum(min(c, d) for (x, _), c in seen[k].items() if x == h) * p) / n if n else p
+
+    name = lambda w: w if w in vocabulary else ("^unknown" if w[0] == "^" else "unknown")
+    for text in ["the fool said you absolute reason", "x y z", "fools", *toxic, *ordinary]:
+        got, count = model.differences([text])
+        want = [log(p(0, name(h), name(w))) - log(p(1, name(h), name(w))) for h, w in pairs(text)]
+        assert count.tolist() == [len(want)] and np.allclose(got, want)
+        sums = [sum(want[i : i + k]) / (k + toxicity.NEUTRAL) for k in {*toxicity.LENGTHS, len(want)} for i in range(len(want) - k + 1)]
+        assert abs(model.evidence([text])[0, 0] - max(sums)) < 1e-9
