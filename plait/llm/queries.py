@@ -19,7 +19,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharding.append(store, table(spark, sf_dir, "documents"))
     sharding.compact(store)
     sharding.vacuum(store)
-    return store.frame().select("doc_id", F.col("arrival").cast("long"), "tier", F.col("shard").alias("target_file"), F.sha2("text", 256).alias("text_sha256"))
+    return store.frame().select("doc_id", "arrival", "tier", F.col("shard").alias("target_file"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

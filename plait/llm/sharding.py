@@ -3,84 +3,110 @@
 A store is a folder.  Arrivals are appended as small immutable shards; nothing
 is ever changed in place.  Compaction takes runs (shards) of similar size, at
 least a few of one size tier, merges them into files of a target size, and
-commits a manifest that names the shards of the new version.  A manifest is
-written under a temporary name and renamed, which is atomic and fails if the
-version exists, so that of two writers one wins and readers see whole versions.
+commits a manifest that names the shards of the new version: the merged files,
+and by name, without reading them, all shards that were not merged.
 
-The rows go through DataFrame operations only: shards are values of a
-partition column, so that appending needs no shuffle and merging needs one.
-Which shard goes where is planned on metadata, one row for each shard.
+``data/folder=F/shard=S`` holds a shard; every writer has a folder of its own,
+so that what a killed writer leaves behind is in nobody's way.  A manifest is a
+table, one row a shard with size and rows, and a version is a small file
+``versions/N`` that names one.  It is created where no such file exists, so of
+two writers one wins, and readers see whole versions.
+
+The rows go through DataFrame operations only.  Which shard goes where is
+planned on the manifest; appending needs no shuffle of rows, merging one.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import drop_path, materialise
 
 SHARD_ROWS = 4096
 TARGET_BYTES = 64_000_000
 FAN_IN = 4
-#: Shards up to which their bounds, some 100 bytes each, are broadcast.
-BROADCAST_SHARDS = 200_000
+#: Rows of a plan up to which it is broadcast, some 100 bytes each.
+BROADCAST_ROWS = 200_000
+#: A manifest's columns: where a shard is, its place in the order of arrivals, its size, the tier of its runs, how often its rows were merged.
+MANIFEST = "folder string, shard string, seq long, arrival long, split long, bytes long, rows long, tier int, generation int"
+OWN = ("folder", "shard", "tier")
 
 
 class ManifestStore:
-    """Versions of a store; each lists its shards with size, rows, generation and folder."""
+    """Versions of a store; each is a table of its shards."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        folder = self._path(f"{self.path}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+    def _names(self) -> list[int]:
+        folder = self._path(f"{self.path}/versions")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()) if self._fs.exists(folder) else []
 
     def read(self, version: int | None = None) -> dict:
-        """A version's manifest, by default the newest; version 0 is empty."""
-        version = max(self.versions(), default=0) if version is None else version
-        if version == 0:
-            return {"version": 0, "parts": []}
-        stream = self._fs.open(self._path(f"{self.path}/manifests/{version}.json"))
+        """A version's record, by default the newest; ``version`` 0 is the empty store."""
+        for v in reversed(self._names()) if version is None else [version]:
+            if v:
+                stream = self._fs.open(self._path(f"{self.path}/versions/{v}"))
+                try:
+                    text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+                # A writer that was killed between creating and writing leaves an empty file: no version.
+                if text.endswith("}"):
+                    return json.loads(text)
+        return {"version": 0, "manifest": None, "schema": None}
+
+    def versions(self) -> list[int]:
+        return [v for v in self._names() if self.read(v)["version"] == v]
+
+    def shards(self, version: int | None = None) -> DataFrame:
+        """A version's manifest: one row a shard."""
+        record = self.read(version)
+        return self.spark.read.schema(MANIFEST).parquet(record["manifest"]) if record["manifest"] else self.spark.createDataFrame([], MANIFEST)
+
+    def commit(self, shards: DataFrame, schema: StructType, base: int) -> int:
+        """Publish a manifest as the version after ``base``; raises if another writer has published since."""
+        if (newest := self.read()["version"]) != base:
+            raise RuntimeError(f"version {newest} was committed by another writer")
+        version = max(self._names(), default=0) + 1
+        manifest = f"{self.path}/manifests/{uuid.uuid4().hex}"
+        shards.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in MANIFEST.split(", ")]).write.parquet(manifest)
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
-
-    def commit(self, parts: list[dict], base: int) -> int:
-        """Publish ``parts`` as the version after ``base``; raises if another writer has published that version."""
-        version = base + 1
-        final = self._path(f"{self.path}/manifests/{version}.json")
-        draft = self._path(f"{self.path}/manifests/.{version}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}.tmp")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps({"version": version, "parts": parts}, sort_keys=True).encode()))
+            out = self._fs.create(self._path(f"{self.path}/versions/{version}"), False)
+        except Exception as e:
+            drop_path(self.spark, manifest)
+            raise RuntimeError(f"version {version} was committed by another writer") from e
+        out.write(bytearray(json.dumps({"version": version, "manifest": manifest, "schema": schema.jsonValue()}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
+    def data(self, schema: StructType, shards: DataFrame) -> DataFrame:
+        """The rows of some shards, with the manifest's ``folder`` and ``shard``.
+
+        Both are partition columns, so that the join prunes the folders that
+        are read; shards are broadcast up to ``BROADCAST_ROWS``.
+        """
+        named = shards if shards.count() > BROADCAST_ROWS else F.broadcast(shards)
+        whole = StructType([*schema.fields]).add("folder", "string").add("shard", "string")
+        if not self._fs.exists(self._path(f"{self.path}/data")):
+            return self.spark.createDataFrame([], whole).join(named, ["folder", "shard"])
+        return self.spark.read.schema(whole).parquet(f"{self.path}/data").join(named, ["folder", "shard"])
+
     def frame(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the column ``shard``."""
-        parts = self.read(version)["parts"]
-        if not parts:
-            raise ValueError("the version is empty")
-        frames = [self.spark.read.schema(StructType.fromJson(x["schema"])).option("basePath", x["path"]).parquet(x["path"]) for x in parts]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f, allowMissingColumns=True)
-        return out
+        """The rows of a version, with ``folder``, ``shard``, ``tier`` and ``arrival`` (the number it arrived under)."""
+        record = self.read(version)
+        if not record["manifest"]:
+            raise ValueError("the store is empty")
+        return self.data(StructType.fromJson(record["schema"]), self.shards(record["version"]).select("folder", "shard", "tier"))
 
 
 def row_bytes(text: str = "text"):
@@ -88,86 +114,122 @@ def row_bytes(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def arrivals(docs: DataFrame, key: str = "doc_id", rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` with ``shard``: the arrival of a row, ``rows`` consecutive keys to a shard; null keys make shard -1."""
-    return docs.withColumn("shard", F.coalesce(F.floor(F.col(key) / rows), F.lit(-1)).cast("long"))
+def tier_of(size):
+    """The whole part of a size's logarithm to base 4."""
+    return F.floor((F.length(F.bin(size)) - 1) / 2).cast("int")
 
 
-def plan(sizes: DataFrame, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
-    """Where the runs go: ``sizes`` (shard, bytes, rows) with ``tier``, ``merged``, ``ahead`` and ``spread``.
+def place(key: str):
+    """The order of rows within a shard: keys that are whole numbers by value, others and null keys by hash, before them."""
+    return F.coalesce(F.expr(f"try_cast(`{key}` AS BIGINT)"), F.lit(-(2**62)) + F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)))
 
-    The tier is the whole part of the size's logarithm to base 4.  A tier with fewer than
-    ``fan_in`` runs, and runs of ``target`` bytes or more, stay as they are.
-    ``ahead`` is the number of bytes of the tier before the run, in order of
-    shards: the run's rows go to the files ``floor((ahead + own bytes) / target)``.
-    There is one row a shard, a few thousandths of the data.
-    """
-    tiered = sizes.withColumn("tier", F.floor((F.length(F.bin("bytes")) - 1) / 2).cast("int"))
-    own = Window.partitionBy("tier")
-    tiered = tiered.withColumn("runs", F.count("*").over(own)).withColumn("merged", (F.col("runs") >= fan_in) & (F.col("bytes") < target))
-    order = Window.partitionBy("tier", "merged").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return tiered.withColumn("ahead", F.coalesce(F.sum("bytes").over(order), F.lit(0))).drop("runs")
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` for a join: broadcast up to ``BROADCAST_ROWS`` rows, else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def append(store: ManifestStore, docs: DataFrame, key: str = "doc_id", rows: int = SHARD_ROWS) -> int:
-    """Write ``docs`` as small shards, one folder each, without a shuffle, and commit the version that has them.
+def plan(shards: DataFrame, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
+    """The shards of a manifest with ``size_tier``, ``merged`` and ``ahead``.
 
-    Columns named shard, arrival or tier are the store's and are replaced.  An
-    empty arrival makes a version with no more rows than before.
+    A tier with fewer than ``fan_in`` runs below ``target`` bytes, and runs of
+    ``target`` bytes or more, stay as they are.  ``ahead`` is the number of
+    bytes of the tier before the run, in order of arrival: the run's rows go
+    to the files ``floor((ahead + bytes before the row) / target)``.
     """
-    manifest = store.read()
-    path = f"{store.path}/data/{manifest['version'] + 1}"
-    rows_in = arrivals(docs.drop("shard", "arrival", "tier"), key, rows)
-    rows_in.write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(path)
-    return store.commit([*manifest["parts"], {"path": path, "generation": 0, "schema": rows_in.schema.jsonValue()}], manifest["version"])
-
-
-def assign(rows: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
-    """``rows`` (with ``shard``) with the columns ``tier`` and ``target_file`` of the compacted version.
-
-    A shard's rows are walked in order of keys, rows that share a key together
-    and null keys first.  The walk sees keys and sizes only, and a shard is a
-    bounded number of keys; what comes of it is the first key of each file
-    that a shard's rows go to, a few rows a shard, with which the rows
-    themselves find their file without being moved, as long as there are no
-    more than ``BROADCAST_SHARDS`` shards; beyond that they are joined by
-    shuffling.
+    tiered = shards.withColumn("size_tier", tier_of(F.col("bytes")))
+    runs = F.count_if(F.col("bytes") < target).over(Window.partitionBy("size_tier"))
+    tiered = tiered.withColumn("merged", (runs >= fan_in) & (F.col("bytes") < target))
+    order = Window.partitionBy("size_tier", "merged").orderBy("seq", "arrival", "split", "folder", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return tiered.withColumn("ahead", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+
+
+def append(store: ManifestStore, docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SHARD_ROWS) -> int:
+    """Write ``docs`` as small shards, without a shuffle of rows, and commit the version that has them.
+
+    ``rows`` consecutive keys make an arrival.  An arrival of more rows than
+    that, which only repeated keys, null keys and keys that aren't numbers can
+    make, is dealt to as many shards as it needs, by hash and row, so no shard
+    grows with a hot key.  Columns named folder, shard, tier or arrival are
+    the store's and are replaced.  An empty arrival makes a version with no
+    more rows than before.  Repeated rows stay repeated.
     """
-    place = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    keys = rows.groupBy("shard", place.alias("_key")).agg(F.sum(row_bytes(text)).alias("bytes"), F.count("*").alias("rows"))
-    planned = plan(keys.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), target, fan_in).select("shard", "tier", "merged", "ahead")
-    within = Window.partitionBy("shard").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    walked = keys.withColumn("own", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(planned, "shard")
-    number = F.when(F.col("merged"), F.floor((F.col("ahead") + F.col("own")) / target)).otherwise(-1)
-    firsts = walked.groupBy("shard", "tier", number.alias("number")).agg(F.min("_key").alias("first"))
-    bounds = firsts.groupBy("shard", "tier").agg(F.array_sort(F.collect_list(F.struct("first", "number"))).alias("_bounds"))
-    bounds = materialise(bounds, "bounds")
-    placed = rows.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_SHARDS else bounds, "shard")
-    found = F.element_at(F.filter("_bounds", lambda b: b["first"] <= place), -1)["number"]
-    return placed.withColumn("target_file", F.when(found >= 0, F.concat(F.lit("t"), F.col("tier"), F.lit("-"), found)).otherwise(F.concat(F.lit("s"), F.col("shard")))).drop("_bounds")
+    base = store.read()
+    folder = uuid.uuid4().hex
+    docs = docs.drop(*OWN, "arrival")
+    number = F.coalesce(F.floor(F.expr(f"try_cast(`{key}` AS BIGINT)") / rows), F.lit(-1)).cast("long")
+    numbered = docs.withColumn("arrival", number)
+    full = numbered.groupBy("arrival").count().where(F.col("count") > rows).select("arrival", F.ceil(F.col("count") / rows).cast("long").alias("_splits"))
+    full = materialise(full, "full")
+    split = F.lit(0).cast("long")
+    if full.count():
+        numbered = numbered.join(small(full), "arrival", "left")
+        split = F.coalesce(F.pmod(F.xxhash64(F.col(text), F.monotonically_increasing_id()), F.col("_splits")), split)
+    placed = numbered.withColumn("shard", F.concat(F.lit("s"), F.col("arrival"), F.when(split > 0, F.concat(F.lit("."), split)).otherwise(""))).select(*docs.columns, "arrival", "shard")
+    path = f"{store.path}/data/folder={folder}"
+    placed.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    schema = placed.drop("shard").schema
+    held = store.spark.read.schema(placed.schema).parquet(path)
+    sizes = held.groupBy("shard", "arrival").agg(F.sum(row_bytes(text)).alias("bytes"), F.count("*").alias("rows"))
+    version = base["version"] + 1
+    number_of_split = F.coalesce(F.expr("try_element_at(split(shard, '[.]'), 2)").cast("long"), F.lit(0))
+    new = sizes.select(F.lit(folder).alias("folder"), "shard", F.lit(version).cast("long").alias("seq"), "arrival", number_of_split.alias("split"), "bytes", "rows", tier_of(F.col("bytes")).alias("tier"), F.lit(0).alias("generation"))
+    known = StructType.fromJson(base["schema"]) if base["schema"] else StructType()
+    for f in known.fields:
+        if f.name in schema.names and schema[f.name].dataType != f.dataType:
+            raise TypeError(f"column {f.name} has another type in the store")
+    merged = StructType([*known.fields, *(f for f in schema.fields if f.name not in known.names)])
+    return store.commit(store.shards(base["version"]).unionByName(new), merged, base["version"])
 
 
 def compact(store: ManifestStore, key: str = "doc_id", text: str = "text", target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> int:
     """Merge runs of similar size into target-sized files and commit the version; returns its number.
 
-    Rows of a target file are brought together by one shuffle on the file, of
-    bounded size by construction, and written as one file each.  Old shards
-    stay readable through older versions until :func:`vacuum`.
+    Only the rows of merged runs are read and written.  A run's rows are
+    walked in order of keys and, for equal keys, of their texts' hashes; the
+    walk sees those and sizes only.  What comes of it is the first key of each
+    file that a run's rows go to, a few rows a run, with which the rows find
+    their file.  A file exceeds ``target`` by one row's size, or that of equal
+    rows of a run.  Where nothing is to be merged the newest version stays.
+    Old shards stay readable through older versions until :func:`vacuum`.
     """
-    manifest = store.read()
-    path = f"{store.path}/data/{manifest['version'] + 1}"
-    rows = store.frame(manifest["version"]).drop("arrival", "tier")
-    placed = assign(rows, key, text, target, fan_in).withColumnRenamed("shard", "arrival").withColumnRenamed("target_file", "shard")
-    placed.repartition("shard").write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(path)
-    return store.commit([{"path": path, "generation": 1 + max(p["generation"] for p in manifest["parts"]), "schema": placed.schema.jsonValue()}], manifest["version"])
+    base = store.read()
+    if not base["manifest"]:
+        raise ValueError("the store is empty")
+    planned = materialise(plan(store.shards(base["version"]), target, fan_in), "plan")
+    chosen = planned.where("merged").select("folder", "shard", "size_tier", "ahead", "generation")
+    if chosen.isEmpty():
+        return base["version"]
+    schema = StructType.fromJson(base["schema"])
+    rows = store.data(schema, chosen)
+    order = F.struct(place(key).alias("k"), F.xxhash64(F.col(text)).alias("h"))
+    sizes = rows.groupBy("folder", "shard", "size_tier", "ahead", order.alias("at")).agg(F.sum(row_bytes(text)).alias("bytes"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("folder", "shard").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walked = materialise(sizes.withColumn("number", F.floor((F.col("ahead") + before) / target).cast("long")).groupBy("folder", "shard", "size_tier", "number").agg(F.min("at").alias("first"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), "bounds")
+    bounds = walked.groupBy("folder", "shard", "size_tier").agg(F.array_sort(F.collect_list(F.struct("first", "number"))).alias("_bounds"))
+    found = F.element_at(F.filter("_bounds", lambda b: b["first"] <= order), -1)["number"]
+    placed = store.data(schema, chosen.select("folder", "shard")).join(small(bounds), ["folder", "shard"])
+    placed = placed.withColumn("_file", F.concat(F.lit("t"), F.col("size_tier"), F.lit("-"), found)).select(*schema.names, F.col("_file").alias("shard"))
+    folder = uuid.uuid4().hex
+    placed.repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(f"{store.path}/data/folder={folder}")
+    generation = planned.where("merged").agg(F.max("generation")).first()[0] + 1
+    files = walked.groupBy("size_tier", "number").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    new = files.select(F.lit(folder).alias("folder"), F.concat(F.lit("t"), F.col("size_tier"), F.lit("-"), F.col("number")).alias("shard"), F.lit(base["version"] + 1).cast("long").alias("seq"), F.col("number").alias("arrival"), F.lit(0).cast("long").alias("split"), "bytes", "rows", F.col("size_tier").alias("tier"), F.lit(generation).alias("generation"))
+    return store.commit(planned.where("not merged").select(*new.columns).unionByName(new), schema, base["version"])
 
 
 def vacuum(store: ManifestStore, keep: int = 1) -> None:
-    """Delete data that none of the newest ``keep`` versions names."""
+    """Delete versions but the newest ``keep``, and folders of data that those don't name.
+
+    Folders of writers that have not committed yet are younger than the newest
+    version or unknown to any; only folders that an older version names go.
+    """
     versions = store.versions()
-    named = {p["path"] for v in versions[-keep:] for p in store.read(v)["parts"]}
+    named = {r["folder"] for v in versions[-keep:] for r in store.shards(v).select("folder").distinct().collect()}
     for v in versions[:-keep]:
-        for p in store.read(v)["parts"]:
-            if p["path"] not in named:
-                store._fs.delete(store._path(p["path"]), True)
-        store._fs.delete(store._path(f"{store.path}/manifests/{v}.json"), False)
+        record = store.read(v)
+        for r in store.shards(v).select("folder").distinct().collect():  # one row for each commit
+            if r["folder"] not in named:
+                drop_path(store.spark, f"{store.path}/data/folder={r['folder']}")
+        drop_path(store.spark, f"{store.path}/versions/{v}")
+        drop_path(store.spark, record["manifest"])

@@ -6,14 +6,26 @@ revised counts, which are a minus of the old and a plus of the new) becomes one
 row for each group and is committed under its batch id; a batch that was
 committed before changes nothing, so that retries are harmless.  Totals are
 sums over committed deltas, never recounts.
+
+Every writer writes its deltas to a folder of its own, then creates the commit
+record ``commits/<digest of the batch id>``, which names that folder, where no
+such record exists.  Of two writers of one batch one wins; only folders that
+records name are ever read, so what others leave behind doesn't count.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drop_path
+
 GROUP = ("source", "lang", "tokenizer")
+SCHEMA = ", ".join(f"{c} string" for c in GROUP) + ", tokens long, docs long"
 #: Tokenizer versions by regular expression, alike in Java and RE2.
 TOKENIZERS = {"words-1": r"[^\x09-\x0D\x20]+", "pieces-2": r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x00-\x20]"}
 
@@ -24,43 +36,74 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text"):
 
 
 def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
-    """Signed rows ``(source, lang, tokenizer, tokens, docs)`` of counted documents that go (minus) and come (plus)."""
-    rows = [df.select(*GROUP, (sign * F.col("tokens")).alias("tokens"), F.lit(sign).cast("long").alias("docs")) for sign, df in ((-1, before), (1, after)) if df is not None]
+    """Signed rows ``(source, lang, tokenizer, tokens, docs)`` of counted documents that go (minus) and come (plus).
+
+    Other columns are not read.  Repeated documents count as often as they are there.
+    """
+    rows = [df.select(*GROUP, (sign * F.col("tokens")).cast("long").alias("tokens"), F.lit(sign).cast("long").alias("docs")) for sign, df in ((-1, before), (1, after)) if df is not None]
     return rows[0] if len(rows) == 1 else rows[0].union(rows[1])
 
 
-def deltas(signed: DataFrame, batch_id: str) -> DataFrame:
+def deltas(signed: DataFrame) -> DataFrame:
     """One row for each group of a batch; groups are summed on the map side, so a hot source is a row for each task.  Nulls form groups of their own."""
-    return signed.groupBy(*GROUP).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).withColumn("batch_id", F.lit(batch_id))
+    return signed.groupBy(*GROUP).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
 
 
 class Rollup:
-    """A rollup in a folder: ``deltas/batch_id=...`` is present in whole, or absent."""
+    """A rollup in a folder: ``deltas/<folder>`` counts if a record in ``commits`` names it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _record(self, batch_id: str):
+        """A batch id of any signs names a file by its digest."""
+        return self._path(f"{self.path}/commits/{hashlib.sha256(batch_id.encode()).hexdigest()}")
+
+    def _read(self, record) -> dict:
+        stream = self._fs.open(record)
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("}") else {}
+
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/deltas/batch_id={batch_id}"))
+        record = self._record(batch_id)
+        return self._fs.exists(record) and bool(self._read(record))
 
     def commit(self, signed: DataFrame, batch_id: str) -> bool:
-        """Apply a batch once: written aside, then renamed into place.  False if the batch was committed before."""
+        """Apply a batch once.  False if the batch was committed before, or meanwhile by another writer."""
         if self.committed(batch_id):
             return False
-        draft = self._path(f"{self.path}/drafts/{batch_id}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
-        deltas(signed, batch_id).drop("batch_id").coalesce(1).write.parquet(draft.toString())
-        self._fs.mkdirs(self._path(f"{self.path}/deltas"))
-        done = not self.committed(batch_id) and self._fs.rename(draft, self._path(f"{self.path}/deltas/batch_id={batch_id}"))
-        if not done:
-            self._fs.delete(draft, True)
-        return done
+        folder = f"{self.path}/deltas/{uuid.uuid4().hex}"
+        deltas(signed).write.parquet(folder)
+        record = self._record(batch_id)
+        if self._fs.exists(record) and not self._read(record):
+            self._fs.delete(record, False)  # left empty by a writer that was killed
+        try:
+            out = self._fs.create(record, False)
+        except Exception:
+            if not self._fs.exists(record):
+                raise
+            drop_path(self.spark, folder)
+            return False
+        out.write(bytearray(json.dumps({"batch": batch_id, "folder": folder}).encode()))
+        out.close()
+        return True
+
+    def batches(self) -> dict[str, str]:
+        """Committed batch ids with the folders of their deltas."""
+        folder = self._path(f"{self.path}/commits")
+        found = [self._read(s.getPath()) for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return {r["batch"]: r["folder"] for r in found if r}
 
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, tokens, docs)``; groups whose documents are all gone are left out."""
-        schema = ", ".join(f"{c} string" for c in GROUP) + ", tokens long, docs long"
-        if not self._fs.exists(self._path(f"{self.path}/deltas")):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/deltas")
+        folders = sorted(set(self.batches().values()))
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMA)
+        rows = self.spark.read.schema(SCHEMA).parquet(*folders)
         return rows.groupBy(*GROUP).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).where("docs <> 0 or tokens <> 0")

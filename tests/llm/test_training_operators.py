@@ -232,27 +232,67 @@ def test_secret_features_agree(spark):
         assert np.allclose(got[i], secret_scan.features(c, w, p))
 
 
-def test_sharding(spark, tmp_path):
+def contents(rows):
+    return sorted((r.doc_id is None, str(r.doc_id), r.text or "") for r in rows.collect())
+
+
+def test_sharding_in_rounds(spark, tmp_path):
+    """Three rounds of append and compact: nothing is lost, files keep to the target, and unmerged shards are carried over by name."""
     store = sharding.ManifestStore(spark, str(tmp_path / "store"))
     docs = documents(spark, ["word " * (i % 40) for i in range(400)] + [None, ""], shard="own", tier="own").union(spark.createDataFrame([(None, "keyless", "a", "b")], "doc_id long, text string, shard string, tier string"))
-    assert sharding.append(store, docs, rows=20) == 1
-    assert store.frame().count() == 403
-    assert sharding.compact(store, target=3000) == 2
-    out = store.frame()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect())
-    sizes = [r.b for r in out.where("shard like 't%'").groupBy("shard").agg(F.sum(sharding.row_bytes()).alias("b")).collect()]
-    assert sizes and max(sizes) <= 3000 + 216
-    with pytest.raises(RuntimeError):
-        store.commit([], 1)
-    assert store.frame(1).count() == 403
+    want = []
+    for k in range(3):
+        part = docs.withColumn("doc_id", F.col("doc_id") + 1000 * k)
+        want = sorted(want + contents(part))
+        before = store.read()["version"]
+        assert sharding.append(store, part, rows=20) == before + 1
+        kept = {(r.folder, r.shard) for r in sharding.plan(store.shards(), target=3000).where("not merged").collect()}
+        version = sharding.compact(store, target=3000)
+        assert version == before + 2 and contents(store.frame()) == want
+        listed = store.shards().collect()
+        assert kept < {(r.folder, r.shard) for r in listed}
+        sizes = {(r.folder, r.shard): (r.b, r.n) for r in store.frame().groupBy("folder", "shard").agg(F.sum(sharding.row_bytes()).alias("b"), F.count("*").alias("n")).collect()}
+        assert sizes == {(r.folder, r.shard): (r.bytes, r.rows) for r in listed}
+        assert max(r.bytes for r in listed if r.generation) <= 3000 + 216
+    assert contents(store.frame(1)) == contents(docs)
     sharding.vacuum(store)
-    assert store.versions() == [2]
+    assert store.versions() == [6] and contents(store.frame()) == want
+    assert sharding.compact(store, target=10) == 6  # nothing to merge
+
+
+def test_sharding_writers(spark, tmp_path):
+    """A killed writer is in nobody's way, and of two writers one wins."""
+    store = sharding.ManifestStore(spark, str(tmp_path / "store"))
+    docs = documents(spark, ["a b c"] * 30)
+    docs.withColumn("shard", F.lit("s0")).write.partitionBy("shard").parquet(f"{store.path}/data/folder=killed")
+    sharding.append(store, docs, rows=10)
+    (tmp_path / "store" / "versions" / "2").touch()  # killed between creating and writing
+    assert store.versions() == [1] and sharding.append(store, docs, rows=10) == 3
+    assert store.frame().count() == 60
+    with pytest.raises(RuntimeError):
+        store.commit(store.shards(), docs.schema, 1)
     empty = sharding.ManifestStore(spark, str(tmp_path / "empty"))
     sharding.append(empty, docs.limit(0))
     sharding.compact(empty)
     assert empty.frame().count() == 0
 
 
+def test_sharding_of_hot_null_and_string_keys(spark, tmp_path):
+    rows = [(7, f"text {i % 50}") for i in range(900)] + [(None, f"none {i}") for i in range(500)] + [(i, None) for i in range(20)]
+    store = sharding.ManifestStore(spark, str(tmp_path / "hot"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.append(store, docs, rows=50)
+    assert max(r.rows for r in store.shards().collect()) <= 100
+    sharding.compact(store, target=2000)
+    assert contents(store.frame()) == contents(docs)
+    assert max(r.bytes for r in store.shards().collect()) <= 2000 + 50 * 24
+    words = sharding.ManifestStore(spark, str(tmp_path / "words"))
+    docs = docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id")))
+    sharding.append(words, docs, rows=50)
+    sharding.compact(words, target=2000)
+    assert contents(words.frame()) == contents(docs)
+
+
 def test_token_counts(spark, tmp_path):
     rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
     assert rollup.totals().count() == 0
@@ -264,6 +304,13 @@ def test_token_counts(spark, tmp_path):
     rollup.commit(token_counts.changes(docs.where("source = 'a'"), revised), "2")
     rollup.commit(token_counts.changes(docs.where("source = 'b'"), None), "3")
     assert totals() == {("a", "en", "y"): (10, 2), (None, "en", "x"): (0, 1)}
+    assert rollup.commit(token_counts.changes(None, docs.limit(0)), "a/b:c \u00e9") and not rollup.commit(token_counts.changes(None, docs), "a/b:c \u00e9")
+    # Two writers send one batch: the second's check still says that it isn't there.
+    other = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    other.committed = lambda batch_id: False
+    had = totals()
+    assert rollup.commit(token_counts.changes(None, docs), "race") and not other.commit(token_counts.changes(None, docs.withColumn("n_chars", F.lit(1))), "race")
+    assert totals() != had and rollup.commit(token_counts.changes(docs, None), "back") and totals() == had
     counts = documents(spark, ["a b  c", None, "", "x1 22!"]).select(token_counts.count_tokens(spark.range(0).select(F.lit("").alias("text")), "words-1").alias("n"), token_counts.count_tokens(spark.range(0).select(F.lit("").alias("text")), "pieces-2").alias("p"))
     assert [tuple(r) for r in counts.collect()] == [(3, 3), (0, 0), (0, 0), (2, 5)]
 
