@@ -70,77 +70,101 @@ def codes_of(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndar
     return (signs.reshape(len(x), tables, PART_BITS) * (1 << np.arange(PART_BITS))).sum(2).astype(np.int64)
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, sample_vectors: int = SAMPLE_VECTORS) -> DataFrame:
+def rotation(models: dict, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rotation of a dimension; one that the sample doesn't have gets a rotation that isn't learned."""
+    if dimension not in models:
+        models[dimension] = learn_rotation(np.zeros((0, dimension)))
+    return models[dimension]
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, sample_vectors: int = SAMPLE_VECTORS, whole_bits: int = WHOLE_BITS, exact: bool = False) -> DataFrame:
     """One row per vector: key, ``n_links`` (other rows linked directly), ``component_id`` (smallest key reachable), ``kept``.
 
     Rows link if their cosine, in double precision, is ``threshold`` or more.
-    Vectors that are null, empty, zero, of another length than most of the
-    sample, or hold null or non-finite components link with nothing.  Equal
-    vectors are compared once, as a class, and link with each other; keys may
-    repeat and be null (a null key never names a component that has others).
-    Pairs whose codes differ by more than one bit in every table are missed;
-    recall is measured against brute force in the tests.
+    Vectors that are null, empty, zero, or hold null or non-finite components
+    link with nothing; vectors of different lengths don't link with each
+    other.  Equal vectors are compared once, as a class, and link with each
+    other; keys may repeat and be null (a null key never names a component
+    that has others).  An empty table gives an empty one.  Other columns are
+    not read.
+
+    Pairs whose codes differ by more than one bit in every table, or by more
+    than ``whole_bits`` in all, are missed; recall is measured against brute
+    force in the tests.  With ``exact`` no pair is missed: every block of
+    vectors is compared with every block of its dimension, which takes time by
+    the square of their number.
     """
     spark = vectors.sparkSession
     x = F.col(embedding).cast("array<double>")
     fine = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(key).alias("id"), F.when(fine, x).alias("x"))
-    classes = materialise(rows.where("x is not null").groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("c", F.monotonically_increasing_id()), "vectors")
-    picked = classes.orderBy(F.xxhash64("x")).limit(sample_vectors).select("x").collect()
-    lengths = [len(r["x"]) for r in picked]
-    if not lengths:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    dimension = max(sorted(set(lengths)), key=lengths.count)
-    sample = np.array([r["x"] for r in picked if len(r["x"]) == dimension])
-    model = spark.sparkContext.broadcast(learn_rotation(unit(sample)))
+    # A class is named by 128 bits of its vector, so that vectors themselves are no join keys.
+    hashes = [F.xxhash64("x").alias("h"), F.xxhash64(F.reverse("x"), F.lit(1)).alias("g")]
+    classes = materialise(rows.where("x is not null").groupBy("x").agg(F.min("id").alias("least"), F.count("*").alias("copies")).select("*", *hashes).withColumn("c", F.monotonically_increasing_id()), "vectors")
+    picked = classes.orderBy("h").limit(sample_vectors).select("x").collect()
+    by_length: dict[int, list] = {}
+    for r in picked:
+        by_length.setdefault(len(r["x"]), []).append(r["x"])
+    model = spark.sparkContext.broadcast({d: learn_rotation(unit(np.array(lot))) for d, lot in by_length.items()})
     tables = BITS // PART_BITS
 
+    def lists(batch):
+        """Offsets and values of a batch's vectors."""
+        column = batch.column("x")
+        return column.offsets.to_numpy(), column.values.to_numpy()
+
     def cells(batches):
-        """Each vector once in every table, and once for every value within one bit of its part."""
+        """Each vector once in every table, and once for every value within one bit of its part.  Cells of different dimensions differ."""
         import pyarrow as pa
 
         flips = np.array([0, *(1 << np.arange(PART_BITS))])
         for batch in batches:
-            raw = np.array(batch.column("x").flatten()).reshape(-1, dimension)
-            parts = codes_of(unit(raw), *model.value)
-            n = len(raw)
-            code = (parts << (np.arange(tables) * PART_BITS)).sum(1)
-            cell = (parts[:, :, None] ^ flips[None, None, :]) + (np.arange(tables) << PART_BITS)[None, :, None]
-            own = np.repeat(np.arange(n), tables * len(flips))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.reshape(-1)), batch.column("c").take(pa.array(own)), pa.array(code[own]), pa.array(np.tile(np.arange(len(flips)) == 0, n * tables))],
-                names=["cell", "c", "code", "home"],
-            )
-
-    wide = classes.where(F.size("x") == dimension)
-    met = wide.select("c", "x").mapInArrow(cells, "cell long, c long, code long, home boolean")
-    asks, homes = met.select("cell", "c", "code"), met.where("home").select("cell", F.col("c").alias("hc"), F.col("code").alias("hcode"))
-    near = (F.bit_count(F.col("code").bitwiseXOR(F.col("hcode"))) <= WHOLE_BITS) & (F.col("c") != F.col("hc"))
-    asks_left = asks.join(homes.withColumnRenamed("cell", "hcell"), (F.col("cell") == F.col("hcell")) & near, "left_semi").select("cell", "c", F.lit(False).alias("home"))
-    homes_left = homes.join(asks.withColumnRenamed("cell", "acell"), (F.col("cell") == F.col("acell")) & near, "left_semi").select("cell", F.col("hc").alias("c"), F.lit(True).alias("home"))
-    left = materialise(asks_left.union(homes_left), "cells")
+            offsets, values = lists(batch)
+            c, length = batch.column("c").to_numpy(), np.diff(offsets)
+            for dimension in np.unique(length):
+                at = np.flatnonzero(length == dimension)
+                raw = values[offsets[at][:, None] + np.arange(dimension)]
+                parts = codes_of(unit(raw), *rotation(model.value, int(dimension)))
+                n = len(raw)
+                code = (parts << (np.arange(tables) * PART_BITS)).sum(1)
+                cell = (parts[:, :, None] ^ flips[None, None, :]) + (int(dimension) * tables + np.arange(tables) << PART_BITS)[None, :, None]
+                own = np.repeat(np.arange(n), tables * len(flips))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1)), pa.array(c[at][own]), pa.array(code[own]), pa.array(np.tile(np.arange(len(flips)) == 0, n * tables))], names=["cell", "c", "code", "home"])
+
+    if exact:
+        left = classes.select(F.shiftleft(F.size("x").cast("long") * tables, PART_BITS).alias("cell"), "c", F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
+    else:
+        met = classes.select("c", "x").mapInArrow(cells, "cell long, c long, code long, home boolean")
+        asks, homes = met.select("cell", "c", "code"), met.where("home").select("cell", F.col("c").alias("hc"), F.col("code").alias("hcode"))
+        near = (F.bit_count(F.col("code").bitwiseXOR(F.col("hcode"))) <= whole_bits) & (F.col("c") != F.col("hc"))
+        asks_left = asks.join(homes.withColumnRenamed("cell", "hcell"), (F.col("cell") == F.col("hcell")) & near, "left_semi").select("cell", "c", F.lit(False).alias("home"))
+        homes_left = homes.join(asks.withColumnRenamed("cell", "acell"), (F.col("cell") == F.col("acell")) & near, "left_semi").select("cell", F.col("hc").alias("c"), F.lit(True).alias("home"))
+        left = materialise(asks_left.union(homes_left), "cells")
     # Crowded cells are cut into blocks by the vector's number.
     sizes = left.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("q"))
     placed = left.join(sizes.select("cell", *[F.ceil(F.col(n) / BLOCK).cast("int").alias(n) for n in "hq"]), "cell")
     block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     placed = placed.where("home").select("cell", "c", "home", block("h").alias("i"), every("q").alias("j")).union(placed.where("not home").select("cell", "c", "home", every("h").alias("i"), block("q").alias("j")))
-    tasks = placed.join(wide.select("c", "x", "copies"), "c").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    cell_count = 1 << PART_BITS
+    tasks = placed.join(classes.select("c", "x", "copies"), "c").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
     def compare(batches):
         """Links of each pair of blocks of a cell: counts for each asking vector, and a forest.  Rows come sorted by cell and blocks."""
         import pyarrow as pa
 
-        def group(keys, c, home, x, copies):
+        def group(cell, values, c, home, copies):
+            x = unit(values.reshape(len(c), -1))
             a, b = x[home], x[~home]
             hc, ac = c[home], c[~home]
             link = (b @ a.T >= threshold) & (ac[:, None] != hc[None, :])
             if not link.any():
                 return
-            parts_a, parts_b = codes_of(a, *model.value), codes_of(b, *model.value)
-            for t in range(int(keys[0]) // cell_count):
-                link &= np.bitwise_count(parts_b[:, t][:, None] ^ parts_a[:, t][None, :]) > 1
+            if not exact:
+                # A pair counts in the first table in which it meets.
+                own = rotation(model.value, x.shape[1])
+                parts_a, parts_b = codes_of(a, *own), codes_of(b, *own)
+                for t in range((int(cell) >> PART_BITS) % tables):
+                    link &= np.bitwise_count(parts_b[:, t][:, None] ^ parts_a[:, t][None, :]) > 1
             n = link @ copies[home]
             out.extend((v, v, k) for v, k in zip(ac.tolist(), n.tolist(), strict=True) if k)
             parent: dict[int, int] = {}
@@ -162,30 +186,36 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
             return pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(3)], names=["c", "other", "links"])
 
         out: list[tuple[int, int, int]] = []
-        rest = None
+        rest: list = []  # parts of the group that isn't complete yet
+        held = None
         for batch in batches:
-            x = np.array(batch.column("x").flatten()).reshape(-1, dimension)
-            part = (np.stack([batch.column(n).to_numpy() for n in ("cell", "i", "j")], 1), batch.column("c").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False), unit(x), batch.column("copies").to_numpy())
-            if rest is not None:
-                part = tuple(np.concatenate(z) for z in zip(rest, part, strict=True))
-            cut = np.flatnonzero((part[0][1:] != part[0][:-1]).any(1)) + 1
-            for s, e in zip([0, *cut[:-1]], cut, strict=True) if len(cut) else ():
-                group(part[0][s], *(z[s:e] for z in part[1:]))
-            last = cut[-1] if len(cut) else 0
-            rest = tuple(z[last:] for z in part)
+            offsets, values = lists(batch)
+            keys = np.stack([batch.column(n).to_numpy() for n in ("cell", "i", "j")], 1)
+            others = [batch.column("c").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False), batch.column("copies").to_numpy()]
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if held is not None and tuple(keys[s]) != held:
+                    group(held[0], *(np.concatenate(z) for z in zip(*rest, strict=True)))
+                    rest = []
+                held = tuple(keys[s])
+                rest.append((values[offsets[s] : offsets[e]], *(z[s:e] for z in others)))
             if out:
                 yield flush()
-        if rest is not None and len(rest[1]):
-            group(rest[0][0], *rest[1:])
+        if rest:
+            group(held[0], *(np.concatenate(z) for z in zip(*rest, strict=True)))
             yield flush()
 
     found = materialise(tasks.mapInArrow(compare, "c long, other long, links long"), "links")
     linked = components(found.where("c <> other"), "c", "other").withColumnRenamed("id", "c")
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
-    named = classes.select("c", "least", "copies").join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = classes.select("c", "least", "copies", "h", "g").join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    info = named.join(least, "component").join(counts, "c", "left").join(classes.select("c", "x"), "c")
-    info = info.select("x", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    out = rows.join(info, "x", "left")
+    info = named.join(least, "component").join(counts, "c", "left")
+    info = info.select("h", "g", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    out = rows.where("x is not null").select("id", *hashes).join(info, ["h", "g"]).select("id", "component_id", "n")
+    # Vectors that link with nothing aren't joined.
+    out = out.unionByName(rows.where("x is null").select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n")))
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
