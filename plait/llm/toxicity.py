@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialise, worker_cache
 
 #: Bound of the sample: labelled texts of each class.
-SAMPLE_TEXTS = 4000
+SAMPLE_TEXTS = 3000
 LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 256)
 NEUTRAL = 1
 DISCOUNT = 0.75
