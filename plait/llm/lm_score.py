@@ -1,27 +1,31 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
 Restaurants.  A token is drawn in the restaurant of its context, the word
-before it; all context restaurants share one parent, the restaurant of single
-words.  Contexts are 4,096 cells of the preceding word's hash, so that their
-totals stay bounded however large the vocabulary grows; a frequent word rules
-its cell.  The parent's base has no atoms, so that each known word has one
-table there, and what is left is the chance of a word never seen: known words
-and the one class of unknown words make up 1.
-
-Sampling.  Chinese-restaurant seating is sampled by Gibbs sweeps.  Given the
-restaurants' totals, the seating of one word is independent of other words, so
-words are dealt out by hash and each task sweeps over its own words in all
-restaurants, re-seating a word's customers of one restaurant at a time given
-all others.  While it sweeps, a task takes its words for a sample of all when
-it needs a restaurant's totals; the exact totals of every kept sample are
-added up over tasks afterwards, and predictive probabilities are averaged over
-the samples with those, so each sample's probabilities add up to 1.
+before it (the end of a text stands before its first word); every word of the
+corpus has a restaurant, and all share one parent, the restaurant of single
+words.  The parent's base has no atoms, so that each known word has one table
+there, and what is left is the chance of a word never seen: known words and the
+one class of unknown words make up 1.
+
+Sampling.  Chinese-restaurant seating is sampled by Gibbs sweeps over the
+numbers of tables ``t`` of each pair of context and word with ``c`` customers.
+Two steps alternate.  Given the seating, the parent's probabilities ``p`` are
+drawn (Dirichlet: a Gamma draw a word, divided by their sum), and each context
+draws an auxiliary ``x`` from Gamma(strength / discount + its tables).  Given those, all pairs are independent of each other, and ``t``
+has weight ``(discount * x * p) ** t * S(c, t)``, with the generalised Stirling
+numbers S.  Up to ``EXACT`` customers ``t`` is drawn from these weights, beyond
+that from the limit that they approach.  Pairs of one customer have one table
+always.  Draws are functions of the words, so the same documents have the same
+scores however they are partitioned.  Predictive probabilities are averaged
+over the samples that are kept.
 
 Data flow.  Documents are cut into blocks of a few MB.  A block asks each
-bucket of words for its distinct pairs of context and word (with training
-counts) and keeps its documents as lists of pairs; a bucket answers with
-probabilities.  Everything shuffled is summed up by block before, so a word or
-document however frequent or long is a few thousand pairs a block at most.
+bucket of words for its distinct pairs (with training counts).  Buckets merge
+these; what leaves a bucket are tables by context and, for pairs of two
+customers or more, what sweeps need.  Sweeps exchange, by context, the tables
+beyond one for each pair.  At the end blocks ask again, and buckets answer with
+customers and tables, from which each block computes its documents' scores.
+Nothing is gathered on the driver but totals.
 """
 
 from __future__ import annotations
@@ -33,13 +37,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fold_of, materialise, partitions
+from .common import WORD, fold_of, materialise, partitions, worker_cache
 
-CONTEXT_BITS = 12
 BLOCK_BYTES = 8_000_000
-DISCOUNT, STRENGTH = 0.8, 20.0
+DISCOUNT, STRENGTH = 0.7, 3.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 2, 2
+EXACT = 512
+#: Bits of a word's hash that name it.
+HASH_BITS = 48
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -67,8 +73,15 @@ class Ids(dict):
         return i
 
 
+def pairs_of(tokens: np.ndarray, size: np.ndarray, which: bool = False):
+    """Distinct pairs ``word << 32 | context`` of texts given as ranks of their tokens, 0 being the rank before a text's first; with ``which``, also each token's pair."""
+    before = np.concatenate([[0], tokens[:-1]])
+    before[np.cumsum(size) - size] = tokens[-1] if len(tokens) else 0  # every text's last token is the end
+    return np.unique(tokens << 32 | before, return_inverse=which)
+
+
 def read_block(ids: list, texts: list[bytes | None], trains: list[bool], buckets: int) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """The block's documents as lists of pairs, and its question to each bucket."""
+    """The block's documents as ranks of their tokens, and its question to each bucket: words, how many pairs each has, their contexts and counts."""
     import xxhash
 
     upper = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -81,106 +94,153 @@ def read_block(ids: list, texts: list[bytes | None], trains: list[bool], buckets
     inner = np.ones(len(token), bool)
     inner[end - 1] = False
     token[inner] = np.concatenate(lots)
-    before = np.concatenate([[0], token[:-1]])
-    before[end - size] = 0
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - HASH_BITS) for w in known), np.int64, len(known))
+    bucket = h % buckets
     order = np.lexsort((h, bucket))
     rank = np.empty(len(h), np.int64)
     rank[order] = np.arange(len(h))
-    context = (h >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-    pairs, which = np.unique(rank[token] << CONTEXT_BITS | context[before], return_inverse=True)
-    of_doc = np.repeat(np.arange(len(size)), size)
-    count = np.bincount(which, np.array(trains, float)[of_doc], len(pairs)).astype(np.int64)
-    # A document is the sorted list of its pairs, as steps.
-    listed = np.sort(of_doc * len(pairs) + which)
-    steps = np.diff(listed, prepend=0)
-    docs = pickle.dumps((ids, pack(narrow(steps)), len(pairs), size, [int(t) for t in trains]))
-    word = pairs >> CONTEXT_BITS
-    own = bucket[order][word]
-    cuts = np.searchsorted(own, np.arange(buckets + 1))
+    tokens = rank[token]
+    pairs, which = pairs_of(tokens, size, True)
+    count = np.bincount(which, np.repeat(np.array(trains, float), size), len(pairs)).astype(np.int64)
+    docs = pickle.dumps((ids, pack(narrow(tokens)), len(h), size, [int(t) for t in trains]))
+    word, context = pairs >> 32, h[order][pairs & (2**32 - 1)]
+    cuts = np.searchsorted(bucket[order][word], np.arange(buckets + 1))
     word_cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     asked = []
     for b in range(buckets):
-        s, e = cuts[b], cuts[b + 1]
+        s, e, ws, we = cuts[b], cuts[b + 1], word_cuts[b], word_cuts[b + 1]
         if s < e:
-            asked.append((b, pack(h[order][word_cuts[b] : word_cuts[b + 1]], narrow(np.bincount(word[s:e] - word_cuts[b])), (pairs[s:e] & (2**CONTEXT_BITS - 1)).astype(np.uint16), narrow(count[s:e]))))
+            asked.append((b, pack(np.diff(h[order][ws:we], prepend=0), narrow(np.bincount(word[s:e] - ws, minlength=we - ws)), context[s:e], narrow(count[s:e]))))
     return docs, asked
 
 
-def reseat(count: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of ``count`` customers who eat one dish, seated one after another.
-
-    ``fresh`` is the weight of a new table, strength plus discount times the
-    restaurant's tables, times the parent's probability.  From 64 customers on,
-    a sixteenth of those seated come at once, their new tables being drawn
-    together.
-    """
-    tables = np.minimum(count, 1).astype(np.int64)
-    live = np.flatnonzero(count > 1)
-    seated = 1
-    while len(live):
-        step = 1 if seated < 64 else seated // 16
-        group = np.minimum(step, count[live] - seated)
-        old = np.maximum(seated - discount * tables[live], 1e-9)
-        tables[live] += rng.binomial(group, fresh[live] / (fresh[live] + old))
-        seated += step
-        live = live[count[live] > seated]
-    return tables
-
-
 def merge_questions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """Distinct words, and for each distinct pair word, context and training count; for each block the places of its pairs and words."""
+    """Distinct words, and for each distinct pair its word's place, context and training count; for each block the places of its pairs and words."""
     parts = [unpack(b) for b in blobs]
-    hashes = np.unique(np.concatenate([p[0] for p in parts]))
+    hashes = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]))
     each = []
-    for h, n, context, count in parts:
-        words = np.searchsorted(hashes, h)
-        each.append((words, np.repeat(words, n.astype(np.int64)) << CONTEXT_BITS | context, count.astype(np.int64)))
-    keys = np.unique(np.concatenate([k for _, k, _ in each]))
-    count = np.zeros(len(keys), np.int64)
-    places = []
-    for words, k, c in each:
-        at = np.searchsorted(keys, k)
-        count[at] += c
-        places.append((at, words))
-    return hashes, keys >> CONTEXT_BITS, keys & (2**CONTEXT_BITS - 1), count, places
-
-
-def sweeps(bucket: int, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, share: float, seed: int) -> list[np.ndarray]:
-    """Kept samples of the tables of each pair; the same for the same pairs.  ``share`` is the part of all words that this bucket holds."""
-    rng = np.random.default_rng([seed, bucket])
-    cells = 2**CONTEXT_BITS
-    tables = np.minimum(count, 1)
-    again = np.flatnonzero(count > 1)
-    kept = []
-    for sweep in range(BURN_IN + SAMPLES):
-        # This bucket's words stand for all: its tables are taken for that share of each restaurant's.
-        at_root = np.bincount(word, tables, words)
-        in_cell = np.bincount(context, tables, cells)
-        p = np.maximum(at_root - ROOT_DISCOUNT, 1e-3) / (ROOT_STRENGTH * share + at_root.sum())
-        fresh = (STRENGTH * share + DISCOUNT * in_cell[context[again]]) * p[word[again]]
-        tables = tables.copy()
-        tables[again] = reseat(count[again], np.maximum(fresh, 1e-12), DISCOUNT, rng)
-        if sweep >= BURN_IN:
-            kept.append(tables)
-    return kept
-
-
-def predictive(words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, kept: list[np.ndarray], total: np.ndarray, known_words: int) -> np.ndarray:
-    """Predictive probability of each pair, averaged over the kept samples.
-
-    ``total`` has for each context its customers and, by sample, its tables,
-    over all words.  Words without customers are the one class of the unknown.
+    for steps, n, context, count in parts:
+        words = np.searchsorted(hashes, np.cumsum(steps))
+        each.append((words, np.repeat(words, n.astype(np.int64)), context, count.astype(np.int64)))
+    word, context = (np.concatenate([x[k] for x in each]) for k in (1, 2))
+    order = np.lexsort((context, word))
+    word, context = word[order], context[order]
+    first = np.ones(len(word), bool)
+    first[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(first) - 1
+    count = np.bincount(place, np.concatenate([x[3] for x in each]), int(first.sum())).astype(np.int64)
+    cuts = np.cumsum([0, *(len(x[1]) for x in each)])
+    return hashes, word[first], context[first], count, [(place[a:b], x[0]) for a, b, x in zip(cuts, cuts[1:], each, strict=False)]
+
+
+def mix(*keys) -> np.ndarray:
+    """64 mixed bits for each row of the keys (the finaliser of splitmix64, key by key)."""
+    out = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            out = (out ^ np.asarray(k).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out = out ^ (out >> np.uint64(31))
+    return out
+
+
+def uniform(*keys) -> np.ndarray:
+    """A number between 0 and 1 for each row of the keys."""
+    return ((mix(*keys) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def gamma(shape: np.ndarray, *keys) -> np.ndarray:
+    """A Gamma draw for each row, by Marsaglia and Tsang (2000); shapes are above 1."""
+    d = shape - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left, turn = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(left):
+        own = [np.asarray(k)[left] if np.ndim(k) else k for k in keys]
+        u, v, w = (uniform(turn, j, *own) for j in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = (1 + c[left] * x) ** 3
+        fine = cube > 0
+        fine[fine] = np.log(w[fine]) < x[fine] ** 2 / 2 + d[left][fine] * (1 - cube[fine] + np.log(cube[fine]))
+        out[left[fine]] = d[left[fine]] * cube[fine]
+        left, turn = left[~fine], turn + 1
+    return out
+
+
+def parent_draw(customers: np.ndarray, *keys) -> np.ndarray:
+    """Gamma draws whose shares are the parent's probabilities, given its customers."""
+    shape = customers - ROOT_DISCOUNT
+    return gamma(shape + 1, 0, *keys) * uniform(1, *keys) ** (1 / shape)
+
+
+def rest_draw(known_words: int, *keys) -> float:
+    """The same for all words never seen."""
+    return float(gamma(np.array([1 + ROOT_STRENGTH + ROOT_DISCOUNT * known_words]), 2, *keys, np.zeros(1))[0] * uniform(3, *keys) ** (1 / (ROOT_STRENGTH + ROOT_DISCOUNT * known_words)))
+
+
+def stirling(discount: float = DISCOUNT, limit: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) up to ``limit``: ways to seat c customers at t tables, by weight."""
+    cache = worker_cache()
+    if ("stirling", discount, limit) not in cache:
+        log = np.full((limit + 1, limit + 2), -np.inf)
+        log[1, 1] = 0.0
+        t = np.arange(limit + 2)
+        for n in range(1, limit):
+            stay = np.log(np.maximum(n - discount * t, 1e-300)) + log[n]
+            log[n + 1, 1:] = np.logaddexp(stay[1:], log[n, :-1])
+        cache["stirling", discount, limit] = log
+    return cache["stirling", discount, limit]
+
+
+def draw_tables(count: np.ndarray, z: np.ndarray, u: np.ndarray, discount: float = DISCOUNT, limit: int = EXACT) -> np.ndarray:
+    """Tables of each pair: weight ``z ** t * S(count, t)``, drawn with the uniform numbers ``u``.
+
+    Beyond ``limit`` customers: tables make a Poisson process of weight z whose
+    sizes add up to the count.  At the saddle point, where their mean is the
+    count, tables beyond the first have the mean ``z * (1 - y ** discount) /
+    discount``, y solving ``z * (1 - y) * y ** (discount - 1) = count``, and a
+    variance that is less by what the count tells of them.
     """
-    known = np.bincount(word, count, words) > 0
-    mean = np.zeros(len(word))
-    for k, tables in enumerate(kept):
-        at_root = np.bincount(word, tables, words)
-        p = np.where(known, at_root - ROOT_DISCOUNT, ROOT_STRENGTH + ROOT_DISCOUNT * known_words) / (ROOT_STRENGTH + total[:, 1 + k].sum())
-        own = STRENGTH + DISCOUNT * total[context, 1 + k]
-        mean += (np.maximum(count - DISCOUNT * tables, 0) + own * p[word]) / (STRENGTH + total[context, 0])
-    return mean / len(kept)
+    tables = np.minimum(count, 1)
+    order = np.argsort(count, kind="stable")
+    order = order[count[order] > 1]
+    log = stirling(discount, limit)
+    sizes, starts = np.unique(count[order], return_index=True)
+    for c, a, b in zip(sizes.tolist(), starts, [*starts[1:], len(order)], strict=True):
+        if c > limit:
+            rows = order[a:]
+            n, own = count[rows].astype(float), np.maximum(z[rows], 1e-300)
+            low, high = np.full(len(rows), -200.0), np.zeros(len(rows))
+            for _ in range(60):  # bisection on log y
+                y = (low + high) / 2
+                more = np.log(own) + np.log(-np.expm1(y)) + (discount - 1) * y > np.log(n)
+                low, high = np.where(more, y, low), np.where(more, high, y)
+            y = np.exp(high)
+            mean = own * (1 - y**discount) / discount
+            spread = own * ((1 - y) * y ** (discount - 1) + (1 - y) ** 2 * (1 - discount) * y ** (discount - 2))
+            rest = np.clip(n * n / np.maximum(spread, 1e-300) / np.maximum(mean, 1e-300), 1e-9, 1 - 1e-9)
+            for i, r in enumerate(rows):
+                rng = np.random.default_rng(int(u[r] * 2**53))
+                tables[r] = 1 + min(int(rng.binomial(max(1, round(mean[i] / rest[i])), rest[i]) if mean[i] / rest[i] < 2e9 else rng.poisson(mean[i])), count[r] - 1)
+            break
+        step = max(1, 2_000_000 // c)
+        for s in range(a, b, step):
+            rows = order[s : min(b, s + step)]
+            logits = np.log(np.maximum(z[rows], 1e-300))[:, None] * np.arange(1, c + 1) + log[c, 1 : c + 1]
+            weight = np.cumsum(np.exp(logits - logits.max(1, keepdims=True)), 1)
+            tables[rows] = 1 + np.minimum((weight < u[rows][:, None] * weight[:, -1:]).sum(1), c - 1)
+    return tables
+
+
+def predictive(count, tables, context_count, context_tables, parent):
+    """Probability of a word after a context: of one sample, or of arrays of them."""
+    return (np.maximum(count - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * context_tables) * parent) / (STRENGTH + context_count)
+
+
+def parent_of(customers, total: int, known_words: int):
+    """The parent's probability of words with so many customers of ``total``; none: of the class of unknown words."""
+    return np.where(customers > 0, customers - ROOT_DISCOUNT, ROOT_STRENGTH + ROOT_DISCOUNT * known_words) / (ROOT_STRENGTH + total)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, left_out: int = 2, seed: int = 3) -> DataFrame:
@@ -189,143 +249,210 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     Documents whose key's crc32 modulo ``modulus`` is ``left_out`` are held
     out, the others teach the model.  Texts are lower-cased (A-Z) and cut at
     white space; an end token follows.  ``base_score`` is the log10 probability
-    under add-one unigram counts, ``score`` that of the model.  Null texts are
-    empty: one token, the end.  Keys may repeat and be null.  With no training
-    documents both scores are 0, as the unknown class is then certain.
+    under add-one unigram counts, ``score`` that of the model, both in double
+    precision.  Null texts are empty: one token, the end.  Keys may repeat and
+    be null; repeated rows are documents of their own.  Other columns are not
+    read.  An empty table gives an empty one.  With no training documents both
+    scores are 0, as the unknown class is then certain.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = partitions(spark)  # the scores don't depend on it
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    kind_of_id = rows.schema["id"].dataType
+    names = [f"t{k}" for k in range(SAMPLES)]
+    schema = "kind int, bucket int, block string, u long, n long, " + ", ".join(f"{t} long" for t in names) + ", mass double, blob binary"
+    #: Kinds of rows: tables by context, a bucket's pairs, questions or answers, documents, contexts that a bucket needs, totals.
+    CONTEXT, PAIRS, ASKED, DOCS, NEED, TOTAL = range(6)
 
-    def read(batches):
+    def emit(kind, size, bucket=None, block=None, u=None, n=None, t=None, mass=None, blob=None):
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, blocks = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
-
-        def emit():
-            nonlocal ids, texts, size, blocks
-            block, own = f"{part}-{blocks}", []
-            docs_blob, asked = read_block(ids, texts, [fold_of(i, modulus) != left_out for i in ids], buckets)
-            own = [(block, -1, docs_blob), *((block, b, blob) for b, blob in asked)]
-            ids, texts, size, blocks = [], [], 0, blocks + 1
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in own]), pa.array([r[1] for r in own], pa.int32()), pa.array([r[2] for r in own], pa.binary())], names=["block", "bucket", "blob"])
-
-        for batch in batches:
-            for i in range(len(batch)):
-                ids.append(batch.column("id")[i].as_py())
-                texts.append(batch.column("text")[i].as_py())
-                size += len(texts[-1] or b"") + 64
-                if size > BLOCK_BYTES:
-                    yield emit()
-        if ids:
-            yield emit()
-
-    state = materialise(rows.mapInArrow(read, "block string, bucket int, blob binary"), "blocks")
-    asked = state.where("bucket >= 0")
-    samples = [f"t{k}" for k in range(SAMPLES)]
-
-    def by_bucket(answer):
-        """A function over batches that come sorted by bucket: ``answer(bucket, block names, blobs)`` for each whole bucket."""
+
+        none = lambda x, of: pa.nulls(size, of) if x is None else pa.array(x, of)
+        own = [pa.array(np.full(size, kind, np.int32)), none(bucket, pa.int32()), none(block, pa.string()), none(u, pa.int64()), none(n, pa.int64())]
+        own += [none(None if t is None else t[k], pa.int64()) for k in range(SAMPLES)]
+        return pa.RecordBatch.from_arrays([*own, none(mass, pa.float64()), none(blob, pa.binary())], names=["kind", "bucket", "block", "u", "n", *names, "mass", "blob"])
+
+    def read(whole: bool):
+        """A function over batches of documents that gives each block's questions and, if ``whole``, the block itself."""
 
         def run(batches):
-            held, names, blobs = None, [], []
+            from pyspark import TaskContext
+
+            part, blocks = TaskContext.get().partitionId(), 0
+            ids, texts, size = [], [], 0
+
+            def flush():
+                nonlocal ids, texts, size, blocks
+                block = f"{part}-{blocks}"
+                docs_blob, asked = read_block(ids, texts, [fold_of(i, modulus) != left_out for i in ids], buckets)
+                ids, texts, size, blocks = [], [], 0, blocks + 1
+                yield emit(ASKED, len(asked), [b for b, _ in asked], [block] * len(asked), blob=[x for _, x in asked])
+                if whole:
+                    yield emit(DOCS, 1, [int(mix(part, blocks) % np.uint64(buckets))], [block], blob=[docs_blob])
+
             for batch in batches:
-                for block, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "blob")), strict=True):
-                    if bucket != held and blobs:
-                        yield from answer(held, names, blobs)
-                        names, blobs = [], []
-                    held = bucket
-                    names.append(block)
-                    blobs.append(blob)
-            if blobs:
-                yield from answer(held, names, blobs)
+                for i in range(len(batch)):
+                    ids.append(batch.column("id")[i].as_py())
+                    texts.append(batch.column("text")[i].as_py())
+                    size += len(texts[-1] or b"") + 64
+                    if size > BLOCK_BYTES:
+                        yield from flush()
+            if ids:
+                yield from flush()
 
         return run
 
-    def totals(bucket, _, blobs):
-        """Customers and tables of each context, by sample; the last row holds the words known."""
-        hashes, word, context, count, _ = merge_questions(blobs)
-        cells = 2**CONTEXT_BITS
-        table = np.zeros((cells + 1, 1 + SAMPLES), np.int64)
-        table[:cells, 0] = np.bincount(context, count, cells)
-        for k, tables in enumerate(sweeps(bucket, len(hashes), word, context, count, 1 / buckets, seed)):
-            table[:cells, k + 1] = np.bincount(context, tables, cells)
-        table[cells, 0] = (np.bincount(word, count, len(hashes)) > 0).sum()
-        yield table
-
-    def totals_of_task(batches):
-        """The sum over a task's buckets: a task gives a row for each context at most once."""
-        import pyarrow as pa
+    def grouped(column: str, answer):
+        """A function over batches that come sorted by ``column``: ``answer(value, rows by kind)`` for each whole group."""
 
-        cells, table = 2**CONTEXT_BITS, None
-        for own in by_bucket(totals)(batches):
-            table = own if table is None else table + own
-        if table is None:
-            return
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells + 1)), *(pa.array(table[:, k]) for k in range(1 + SAMPLES))], names=["context", "n", *samples])
-
-    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    summed = dealt.mapInArrow(totals_of_task, "context long, n long, " + ", ".join(f"{t} long" for t in samples)).groupBy("context").agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in samples])
-    cells = 2**CONTEXT_BITS
-    table = np.zeros((cells + 1, 1 + SAMPLES), np.int64)
-    for r in summed.collect():  # one row for each context
-        table[r["context"]] = [r["n"], *(r[t] for t in samples)]
-    known_words, train_tokens = int(table[cells, 0]), int(table[:cells, 0].sum())
-    model = spark.sparkContext.broadcast(table[:cells])
-
-    def probabilities(bucket, names, blobs):
-        """For each block that asked: log10 probability of its pairs, and training counts of its words with the number of their pairs."""
-        import pyarrow as pa
+        def run(batches):
+            import pyarrow as pa
 
-        hashes, word, context, count, places = merge_questions(blobs)
-        total = model.value
-        of_word = np.bincount(word, count, len(hashes))
-        log = np.log10(predictive(len(hashes), word, context, count, sweeps(bucket, len(hashes), word, context, count, 1 / buckets, seed), total, known_words))
-        out = [pack(log[at].astype(np.float32), narrow(of_word[words].astype(np.int64)), narrow(np.bincount(np.searchsorted(words, word[at]), minlength=len(words)))) for at, words in places]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([bucket] * len(names), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "blob"])
+            held, parts = None, []
 
-    answers = dealt.mapInArrow(by_bucket(probabilities), "block string, bucket int, blob binary")
+            def finish():
+                table = pa.Table.from_batches(parts)
+                kinds = table.column("kind").to_numpy()
+                return answer(held, {int(k): table.filter(pa.array(kinds == k)) for k in np.unique(kinds)})
+
+            for batch in batches:
+                values = batch.column(column).to_pylist()
+                cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+                for s, e in zip(cuts, cuts[1:], strict=False):
+                    if s == e:
+                        continue
+                    if parts and values[s] != held:
+                        yield from finish()
+                        parts = []
+                    held = values[s]
+                    parts.append(batch.slice(s, e - s))
+            if parts:
+                yield from finish()
 
-    def add_up(batches):
+        return run
+
+    def dealt(df):
+        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block", "u")
+
+    def blobs_of(table):
+        return [x.as_py() for x in table.column("blob")]
+
+    def merge(bucket, kinds):
+        """Tables by context (one for each pair), pairs of two customers or more, the contexts that these need, and totals."""
+        hashes, word, context, count, _ = merge_questions(blobs_of(kinds[ASKED]))
+        seen = count > 0
+        u, types = np.unique(context[seen], return_counts=True)
+        yield emit(CONTEXT, len(u), u=u, n=types)
+        more = count > 1
+        needed = np.unique(context[more])
+        yield emit(NEED, len(needed), np.full(len(needed), bucket), u=needed)
+        ones = np.bincount(word[count == 1], minlength=len(hashes))
+        yield emit(PAIRS, 1, [bucket], blob=[pickle.dumps((hashes, ones, word[more], context[more], count[more], []))])
+        customers = np.bincount(word[seen], minlength=len(hashes))
+        known = customers > 0
+        yield emit(TOTAL, 1, u=[int(known.sum())], n=[int(count.sum())], mass=[float(parent_draw(customers[known], seed, 0, hashes[known]).sum())])
+
+    merged = materialise(dealt(rows.mapInArrow(read(False), schema)).mapInArrow(grouped("bucket", merge), schema), "merged")
+    first = merged.where(F.col("kind") == TOTAL).agg(F.sum("u"), F.sum("n"), F.sum("mass")).first()
+    known_words, train_tokens, mass = int(first[0] or 0), int(first[1] or 0), float(first[2] or 0)
+    contexts = materialise(merged.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("n")), "contexts")
+    types = int(contexts.agg(F.sum("n")).first()[0] or 0)
+    need = materialise(merged.where(F.col("kind") == NEED).select("bucket", "u").join(contexts, "u").select("bucket", "u", "n"), "need")
+    pairs, beyond, totals = merged.where(F.col("kind") == PAIRS), None, []
+    empty = [F.lit(None).cast("long").alias(t) for t in names]
+
+    def sweep_of(number: int, mass: float):
+        def sweep(bucket, kinds):
+            """New tables of the bucket's pairs; by context, the tables beyond one for each pair."""
+            hashes, ones, word, context, count, kept = pickle.loads(blobs_of(kinds[PAIRS])[0])
+            tables = kept[-1] if kept else np.ones(len(word), np.int64)
+            customers = ones + np.bincount(word, tables, len(hashes)).astype(np.int64)
+            known = customers > 0
+            if len(word):
+                u, t = (kinds[NEED].column(c).to_numpy() for c in ("u", "n"))
+                parent = np.zeros(len(hashes))
+                parent[known] = parent_draw(customers[known], seed, number, hashes[known]) / mass
+                x = gamma(STRENGTH / DISCOUNT + t.astype(float), seed, number, u)
+                z = DISCOUNT * x[np.searchsorted(u, context)] * parent[word]
+                tables = draw_tables(count, z, uniform(seed, number, hashes[word], context))
+                kept = [*(kept if number > BURN_IN else []), tables]
+                extra = np.bincount(np.searchsorted(u, context), tables - 1, len(u)).astype(np.int64)
+                some = extra > 0
+                yield emit(CONTEXT, int(some.sum()), u=u[some], n=extra[some])
+            customers = ones + np.bincount(word, tables, len(hashes)).astype(np.int64)
+            yield emit(TOTAL, 1, mass=[float(parent_draw(customers[known], seed, number + 1, hashes[known]).sum())])
+            yield emit(PAIRS, 1, [bucket], blob=[pickle.dumps((hashes, ones, word, context, count, kept))])
+
+        return sweep
+
+    for number in range(BURN_IN + SAMPLES):
+        now = need if beyond is None else need.join(beyond, "u", "left").select("bucket", "u", (F.col("n") + F.coalesce("extra", F.lit(0))).alias("n"))
+        needed = now.select(F.lit(NEED).alias("kind"), "bucket", F.lit(None).cast("string").alias("block"), "u", "n", *empty, F.lit(None).cast("double").alias("mass"), F.lit(None).cast("binary").alias("blob"))
+        done = materialise(dealt(pairs.union(needed)).mapInArrow(grouped("bucket", sweep_of(number, mass + rest_draw(known_words, seed, number))), schema), "sweep")
+        mass = float(done.where(F.col("kind") == TOTAL).agg(F.sum("mass")).first()[0] or 0)
+        pairs = done.where(F.col("kind") == PAIRS)
+        beyond = materialise(done.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("extra")), "beyond")
+        if number >= BURN_IN:
+            totals.append((types + int(beyond.agg(F.sum("extra")).first()[0] or 0), beyond))
+
+    home = contexts
+    for t, (_, extra) in zip(names, totals, strict=True):
+        home = home.join(extra.withColumnRenamed("extra", t), "u", "left")
+    home = home.select(F.lit(CONTEXT).alias("kind"), (F.col("u") % buckets).cast("int").alias("bucket"), F.lit(None).cast("string").alias("block"), "u", "n", *[(F.col("n") + F.coalesce(t, F.lit(0))).alias(t) for t in names], F.lit(None).cast("double").alias("mass"), F.lit(None).cast("binary").alias("blob"))
+    sums = [t for t, _ in totals]
+
+    def answer(bucket, kinds):
+        """To each block that asked: of its words, customers, the parent's customers and tables as contexts; of its pairs, customers and tables."""
+        if DOCS in kinds:
+            yield from kinds[DOCS].combine_chunks().to_batches()
+        if ASKED not in kinds:
+            return
+        hashes, word, _, count, places = merge_questions(blobs_of(kinds[ASKED]))
+        kept = pickle.loads(blobs_of(kinds[PAIRS])[0])[-1] or [np.zeros(0, np.int64)] * SAMPLES
+        more, tables = np.flatnonzero(count > 1), []
+        for t in kept:
+            own = np.minimum(count, 1)
+            own[more] = t
+            tables.append(own)
+        parents = [np.bincount(word, t, len(hashes)).astype(np.int64) for t in tables]
+        of_word = np.bincount(word, count, len(hashes)).astype(np.int64)
+        as_context = np.zeros((SAMPLES, len(hashes)), np.int64)
+        if CONTEXT in kinds:
+            u = kinds[CONTEXT].column("u").to_numpy()
+            at = np.minimum(np.searchsorted(u, hashes), len(u) - 1)
+            for k, t in enumerate(names):
+                as_context[k] = np.where(u[at] == hashes, kinds[CONTEXT].column(t).to_numpy()[at], 0)
+        for block, (at, words) in zip(kinds[ASKED].column("block").to_pylist(), places, strict=True):
+            blob = pack(*(narrow(a[words]) for a in (of_word, *parents, *as_context)), *(narrow(a[at]) for a in (count, *tables)))
+            yield emit(ASKED, 1, [bucket], [block], blob=[blob])
+
+    def add_up(block, kinds):
         import pyarrow as pa
 
-        def finish(docs_blob, blobs):
-            ids, steps, n_pairs, size, trains = pickle.loads(docs_blob)
-            parts = [unpack(b) for b in blobs]
-            log = np.concatenate([p[0] for p in parts]).astype(float)
-            count = np.concatenate([np.repeat(p[1].astype(float), p[2].astype(np.int64)) for p in parts])
-            if len(log) != n_pairs:
-                raise ValueError("a block's answers are not complete")
-            at = np.cumsum(unpack(steps)[0].astype(np.int64))
-            doc, pair = np.divmod(at, n_pairs)
-            sums = lambda x: np.bincount(doc, x[pair], len(ids))
-            base = sums(np.log10(count + 1)) - size * np.log10(train_tokens + known_words + 1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch_id), pa.array(~np.array(trains, bool)), pa.array(size.astype(np.int64)), pa.array(sums((count > 0).astype(float)).astype(np.int64)), pa.array(base), pa.array(sums(log) if train_tokens else np.zeros(len(ids)))],
-                names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-        batch_id = arrow_kind
-        held, docs_blob, blobs = None, None, []
-        for batch in batches:
-            for block, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "blob")), strict=True):
-                if block != held and docs_blob is not None:
-                    yield finish(docs_blob, blobs)
-                    docs_blob, blobs = None, []
-                held = block
-                if bucket < 0:
-                    docs_blob = blob
-                else:
-                    blobs.append(blob)
-        if docs_blob is not None:
-            yield finish(docs_blob, blobs)
+        ids, packed, words, size, trains = pickle.loads(blobs_of(kinds[DOCS])[0])
+        parts = [unpack(b) for b in blobs_of(kinds[ASKED])]
+        columns = [np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(2 + 3 * SAMPLES)]
+        of_word, parents, as_context = columns[0], columns[1 : 1 + SAMPLES], columns[1 + SAMPLES : 1 + 2 * SAMPLES]
+        count, tables = columns[1 + 2 * SAMPLES], columns[2 + 2 * SAMPLES :]
+        tokens = unpack(packed)[0].astype(np.int64)
+        pair, which = pairs_of(tokens, size, True)
+        if len(of_word) != words or len(count) != len(pair):
+            raise ValueError("a block's answers are not complete")
+        word, context = pair >> 32, pair & (2**32 - 1)
+        p = sum(predictive(count, tables[k], of_word[context], as_context[k][context], parent_of(parents[k], sums[k], known_words)[word]) for k in range(SAMPLES)) / SAMPLES
+        doc = np.repeat(np.arange(len(ids)), size)
+        add = lambda x: np.bincount(doc, x, len(ids))
+        known = of_word[tokens]
+        base = add(np.log10((known + 1) / (train_tokens + known_words + 1)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, arrow_kind), pa.array(~np.array(trains, bool)), pa.array(size.astype(np.int64)), pa.array(add((known > 0).astype(float)).astype(np.int64)), pa.array(base), pa.array(add(np.log10(p)[which]) if train_tokens else np.zeros(len(ids)))],
+            names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow_kind = to_arrow_type(rows.schema["id"].dataType)
-    both = state.where("bucket < 0").union(answers).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
-    out = both.mapInArrow(add_up, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    arrow_kind = to_arrow_type(kind_of_id)
+    answers = dealt(rows.mapInArrow(read(True), schema).union(pairs).union(home)).mapInArrow(grouped("bucket", answer), schema)
+    out = answers.repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
+    out = out.mapInArrow(grouped("block", add_up), f"id {kind_of_id.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

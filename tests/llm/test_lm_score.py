@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -39,28 +40,125 @@ def test_empty_table_and_no_training_rows(spark):
     assert (row.train_tokens, row.n_known, row.base_score, row.score) == (0, 0, 0.0, 0.0)
 
 
+def exact(counts):
+    """Mean predictive probabilities under the posterior of the tables, summed up over every number of tables of every pair."""
+    d, strength, d0, strength0 = lm_score.DISCOUNT, lm_score.STRENGTH, lm_score.ROOT_DISCOUNT, lm_score.ROOT_STRENGTH
+    log, keys = lm_score.stirling(), sorted(counts)
+    words, contexts = sorted({w for _, w in counts}), sorted({u for u, _ in counts})
+    rising = lambda x, n, step: sum(math.log(x + k * step) for k in range(n))
+    sums, total = Counter(), 0.0
+    for tables in itertools.product(*(range(1, counts[k] + 1) for k in keys)):
+        own = dict(zip(keys, tables, strict=True))
+        of_context = {u: sum(t for (v, _), t in own.items() if v == u) for u in contexts}
+        of_word = {w: sum(t for (_, v), t in own.items() if v == w) for w in words}
+        weight = sum(log[counts[k], own[k]] for k in keys) + sum(rising(strength, t, d) for t in of_context.values())
+        weight += sum(math.lgamma(t - d0) for t in of_word.values()) - rising(strength0, sum(tables), 1)
+        weight = math.exp(weight)
+        total += weight
+        for u in contexts:
+            cu = sum(c for (v, _), c in counts.items() if v == u)
+            for w in words:
+                p = lm_score.parent_of(np.array(of_word[w]), sum(tables), len(words))
+                sums[u, w] += weight * float(lm_score.predictive(counts.get((u, w), 0), own.get((u, w), 0), cu, of_context[u], p))
+    return {k: v / total for k, v in sums.items()}
+
+
+def test_sampler_against_the_exact_posterior():
+    """Mean probabilities over many sweeps agree with those of the posterior, enumerated, within 3 %."""
+    counts = {(0, 1): 6, (0, 2): 3, (0, 3): 1, (1, 1): 2, (1, 2): 4, (2, 3): 4, (2, 1): 1, (3, 4): 5}
+    want = exact(counts)
+    keys = sorted(counts)
+    context, word, count = np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([counts[k] for k in keys])
+    tables, sums, n = np.ones(len(keys), np.int64), Counter(), 0
+    known = len(set(word))
+    for sweep in range(12000):
+        mass = lm_score.parent_draw(np.bincount(word, tables)[1:], 5, sweep, np.arange(1, known + 1))
+        parent = np.append(0, mass) / (mass.sum() + lm_score.rest_draw(known, 5, sweep))
+        x = lm_score.gamma(lm_score.STRENGTH / lm_score.DISCOUNT + np.bincount(context, tables), 5, sweep, np.arange(4))
+        tables = lm_score.draw_tables(count, lm_score.DISCOUNT * x[context] * parent[word], lm_score.uniform(7, sweep, context, word))
+        if sweep >= 200:
+            n += 1
+            parent = lm_score.parent_of(np.bincount(word, tables), tables.sum(), known)
+            for u in range(4):
+                own = context == u
+                for w in set(word):
+                    at = own & (word == w)
+                    sums[u, w] += float(lm_score.predictive(count[at].sum(), tables[at].sum(), count[own].sum(), tables[own].sum(), parent[w]))
+    assert max(abs(sums[k] / n / want[k] - 1) for k in want) < 0.03
+
+
+def test_tables_follow_their_weights():
+    """Draws have the weights z ** t * S(c, t), S summed up over set partitions; the limit for many customers has nearly the same means."""
+    d = lm_score.DISCOUNT
+    rising = lambda m: math.prod(k - d for k in range(1, m))
+
+    def ways(c):
+        """Weights by tables, the last customer's table and its company chosen in turn."""
+        if c == 0:
+            return {0: 1.0}
+        out = Counter()
+        for m in range(1, c + 1):
+            for t, x in ways(c - m).items():
+                out[t + 1] += math.comb(c - 1, m - 1) * rising(m) * x
+        return out
+
+    log = lm_score.stirling()
+    for c in (1, 2, 3, 5, 8):
+        for t, x in ways(c).items():
+            assert abs(log[c, t] - math.log(x)) < 1e-9
+    n = 20000
+    for c, z in ((2, 0.5), (7, 3.0), (60, 0.2)):
+        got = lm_score.draw_tables(np.full(n, c), np.full(n, z), lm_score.uniform(c, np.arange(n)))
+        weight = np.exp(np.log(z) * np.arange(1, c + 1) + log[c, 1 : c + 1] - log[c, 1])
+        assert abs(got.mean() - (weight * np.arange(1, c + 1)).sum() / weight.sum()) < 0.05
+    for c, z in ((400, 0.05), (400, 2.0), (500, 30.0), (500, 300.0), (450, 5000.0)):
+        exact = lm_score.draw_tables(np.full(2000, c), np.full(2000, z), lm_score.uniform(c, np.arange(2000))).mean()
+        limit = lm_score.draw_tables(np.full(2000, c), np.full(2000, z), lm_score.uniform(c, np.arange(2000)), limit=300).mean()
+        assert abs(limit / exact - 1) < 0.06, (c, z, exact, limit)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
+    found = []
+    for parts in ("4", "8", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(int(parts) % 5 + 1)
+        found.append({r.doc_id: r.score for r in lm_score.score(docs).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0].keys() == dict(rows).keys()
+    assert all(abs(found[0][i] - x[i]) < 1e-9 for x in found[1:] for i in x)
+
+
+def test_null_and_repeated_keys(spark):
+    rows = [(None, "the cat sat"), (None, "the cat sat"), (3, "the dog"), (3, "the dog"), (3, None)]
+    got = sorted(((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [g[:2] for g in got] == [("3", 1), ("3", 3), ("3", 3), ("None", 4), ("None", 4)] and got[1] == got[2] and got[3] == got[4]
+
+
 def test_probabilities_add_up_to_one():
+    """Known words and the class of the unknown ones, after a context with customers and one without."""
     rng = np.random.default_rng(0)
-    words, cells = 40, 2**lm_score.CONTEXT_BITS
-    count = np.concatenate([rng.integers(0, 200, 5), rng.integers(0, 4, 33), [1, 0]])
-    other = rng.integers(0, 3, words)
-    other[-1] = 0
-    word = np.tile(np.arange(words), 2)
-    context = np.repeat([7, 9], words)
-    counts = np.concatenate([count, other])
-    kept = lm_score.sweeps(0, words, word, context, counts, 1.0, 3)
-    total = np.stack([np.bincount(context, x, cells) for x in (counts, *kept)], 1)
-    known = int((np.bincount(word, counts, words) > 0).sum())
-    unknown = np.bincount(word, counts, words) == 0
-    assert unknown[-1]
-    p = lm_score.predictive(words, word, context, counts, kept, total, known)
-    for c in (7, 9):
-        at = context == c
-        assert abs(p[at & ~unknown[word]].sum() + p[at & unknown[word]][0] - 1) < 1e-9
-
-
-def test_reseat_bounds():
-    rng = np.random.default_rng(1)
-    count = np.array([0, 1, 2, 50, 5000])
-    tables = lm_score.reseat(count, np.full(5, 3.0), 0.8, rng)
-    assert tables[0] == 0 and tables[1] == 1 and (tables <= count).all() and (tables[1:] >= 1).all()
+    count = rng.integers(0, 30, (3, 50))
+    count[:, 0] = 5
+    tables = np.minimum(count, rng.integers(1, 9, count.shape))
+    customers, known = tables.sum(0), int((tables.sum(0) > 0).sum())
+    parent = lm_score.parent_of(np.append(customers[customers > 0], 0), tables.sum(), known)
+    assert abs(parent.sum() - 1) < 1e-12
+    for c, t in [*zip(count, tables, strict=True), (np.zeros(50, int), np.zeros(50, int))]:
+        c, t = (np.append(x[customers > 0], 0) for x in (c, t))
+        assert abs(lm_score.predictive(c, t, c.sum(), t.sum(), parent).sum() - 1) < 1e-12
+
+
+def test_scores_by_brute_force(spark):
+    """With texts whose pairs occur once, nothing is sampled, and scores are sums of the formula's logarithms."""
+    rows = [(0, "a b"), (1, "c d e"), (3, None), (4, "b x"), (5, "x a c")]
+    split = lambda t: [*(t or "").split(), ""]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows += [(i, "a b x zebra") for i in range(6, 100) if held(i)][:2]
+    pairs = Counter((u, w) for i, t in rows if not held(i) for u, w in zip(["", *split(t)], split(t), strict=False))
+    assert max(pairs.values()) == 1 and any(held(i) for i, _ in rows)
+    words, contexts = Counter(w for _, w in pairs), Counter(u for u, _ in pairs)
+    p = lambda u, w: float(lm_score.predictive(pairs[u, w], pairs[u, w], contexts[u], contexts[u], lm_score.parent_of(words[w], len(pairs), len(words))))
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert abs(got[i] - sum(math.log10(p(u, w)) for u, w in zip(["", *split(t)], split(t), strict=False))) < 1e-9
