@@ -18,12 +18,15 @@ LOWER = UPPER.lower()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder of this machine is used.  Also sets the checkpoint
-    directory of the context, which ``checkpoint()`` needs.
+    Read from ``spark.checkpoint.dir``; only where that is unset and the
+    session is local a temporary folder of this machine is used, on a cluster
+    that raises.  Also sets the checkpoint directory of the context, which
+    ``checkpoint()`` needs.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         path = worker_cache().setdefault("shared_dir", None) or tempfile.mkdtemp(prefix="plait-")
         worker_cache()["shared_dir"] = path
@@ -34,7 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/plait/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; they serve the results that read them, and :func:`release` drops them."""
+    return f"{shared_dir(spark)}/plait/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    drop_path(spark, run_dir(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -139,9 +139,9 @@ def hits(n_words: DataFrame, places: DataFrame, held: DataFrame, share: int = 20
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = 20) -> DataFrame:
     """The documents that aren't contaminated, each judged by its own text: keys are not read, all columns stay, repeated rows stay or go together."""
-    gone = materialise(hits(*exact_places(docs, benchmark, text), share).where("contaminated").select(F.col("id").alias("_id"), F.col("id2").alias("_id2")), "contaminated")
-    id1, id2 = named(docs, text)
-    return docs.join(gone, (id1 == F.col("_id")) & (id2 == F.col("_id2")), "left_anti")
+    gone = materialise(hits(*exact_places(docs, benchmark, text), share).where("contaminated").select(F.col("id").alias("plait_id"), F.col("id2").alias("plait_id2")), "contaminated")
+    one, two = (F.xxhash64(docs[text]), F.xxhash64(F.lit(1), docs[text]))
+    return docs.join(gone, (one == gone["plait_id"]) & (two == gone["plait_id2"]), "left_anti")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = PHRASE, share: int = 20) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, materialise, worker_cache
+from .common import WORD, components, materialise, partitions, worker_cache
 
 THRESHOLD = 2
 RADIUS = 3
@@ -87,6 +87,19 @@ def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rows, found, over == 0
 
 
+def home(fingerprints: np.ndarray) -> np.ndarray:
+    """The anchor within the covering radius of each fingerprint: the code is perfect, so there is one."""
+    cache = worker_cache()
+    if "golay" not in cache:
+        cache["golay"] = golay_tables()
+    bits, start, patterns, _ = cache["golay"]
+    fp, found = fingerprints.astype(np.uint64), np.zeros(len(fingerprints), np.int64)
+    for k in range(2):
+        block = (fp >> np.uint64(k * LENGTH) & np.uint64(2**LENGTH - 1)).astype(np.int64)
+        found |= (block ^ patterns[start[syndrome(block, bits)]]) << (k * LENGTH)  # the pattern of least weight comes first
+    return found
+
+
 def fingerprint_of(text: bytes | None) -> int:
     """The 64-bit fingerprint of a whole text; 0 if it has no words."""
     import re
@@ -124,7 +137,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def near_pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """``(a, b)``: all pairs of different fingerprints at 2 or fewer differing bits, a < b, each once."""
-    distinct = fps.select(F.col(fp).alias("fp")).distinct()
+    # Few bytes make many replicas: dealt out by number, so that adaptive execution doesn't put them into few tasks.
+    distinct = fps.select(F.col(fp).alias("fp")).distinct().repartition(partitions(fps.sparkSession), "fp")
 
     def spread(batches):
         import pyarrow as pa
@@ -133,12 +147,16 @@ def near_pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
             values = batch.column("fp").to_numpy()
             for i in range(0, len(values), 4096):
                 part = values[i : i + 4096]
-                rows, found, home = anchors(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part[rows]), pa.array(home)], names=["anchor", "fp", "home"])
+                rows, found, _ = anchors(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part[rows])], names=["anchor", "a"])
+
+    def settle(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(home(batch.column("fp").to_numpy().view(np.uint64))), batch.column("fp")], names=["anchor", "b"])
 
-    replicas = distinct.mapInArrow(spread, "anchor long, fp long, home boolean")
-    homes = distinct.mapInArrow(spread, "anchor long, fp long, home boolean").where("home").select("anchor", F.col("fp").alias("b"))
-    near = homes.join(replicas.select("anchor", F.col("fp").alias("a")), "anchor")
+    near = distinct.mapInArrow(settle, "anchor long, b long").join(distinct.mapInArrow(spread, "anchor long, a long"), "anchor")
     return near.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
 
 
@@ -175,8 +193,11 @@ def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows are told apart by a number written with them, so repeated and null
     keys leave one row too; among rows of one key the text's hash decides.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash_groups(rows, "_row", text).select("_row", "component_id")
-    keys = rows.select("_row", F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), "_row").alias("order"))
-    first = groups.join(keys, "_row").groupBy("component_id").agg(F.min("order").alias("first")).select("first._row")
-    return rows.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = simhash_groups(rows, row, text).select(row, "component_id")
+    keys = rows.select(row, F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), row).alias("order"))
+    first = groups.join(keys, row).groupBy("component_id").agg(F.min("order").alias("first")).select(f"first.{row}")
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

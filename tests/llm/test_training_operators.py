@@ -47,7 +47,7 @@ def test_anchor_covering_is_complete():
         _, own, home = simhash_dedup.anchors(x)
         rows, found, _ = simhash_dedup.anchors(y)
         met = set(zip(rows.tolist(), found.tolist(), strict=True))
-        assert home.sum() == len(x)
+        assert home.sum() == len(x) and (simhash_dedup.home(x) == own[home]).all()
         assert all((i, a) in met for i, a in enumerate(own[home].tolist()))
 
 
