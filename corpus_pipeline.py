@@ -4,7 +4,9 @@ Language identification drops documents whose language is rejected, SimHash
 keeps one document of each group of near copies, decontamination drops
 documents that hold benchmark passages, the secret scan blanks secrets, and
 byte-pair encoding returns the ids of what is left.  Each stage but the last
-returns the columns of documents.
+returns the columns of documents, others that the table has as they are, and
+judges each row by its own text: keys may repeat and be null.  Null and empty
+texts have no language and go in the first stage.
 """
 
 from __future__ import annotations
@@ -13,14 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plait.llm import bpe, decontaminate, language_id, secret_scan, simhash_dedup
-from plait.llm.common import materialise
+from plait.llm.common import drop_path, shared_path
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the others go.  Dictionaries come from the rows that carry one."""
     model = language_id.train(language_id.training_rows(docs))
-    out = language_id.identify(docs, model, lang_pred="_lang", score="_score", rejected="_rejected")
-    return out.where("not _rejected").select(*docs.columns)
+    names = [free(docs, n) for n in ("lang_pred", "score", "rejected")]
+    out = language_id.identify(docs, model, **dict(zip(("lang_pred", "score", "rejected"), names, strict=True)))
+    return out.where(~F.col(names[2])).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents; each is written and read again in between."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
