@@ -40,7 +40,7 @@ def retention(rows: DataFrame, keys: list[str], time: str, id: str, keep: int, c
     """All rows with ``kept``: the newest ``keep`` of each key; of the others only a hash of the content is left."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(id)))
     kept = rank <= keep
-    return rows.select(*keys, id, kept.alias("kept"), F.sha2(F.concat_ws("|", *content), 256).alias("content_hash"))
+    return rows.select(*keys, id, kept.alias("kept"), F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content]), 256).alias("content_hash"))
 
 
 def replay(events: DataFrame, transitions: DataFrame, record: str, time: str, id: str, to_state: str, initial: str) -> DataFrame:
@@ -48,7 +48,7 @@ def replay(events: DataFrame, transitions: DataFrame, record: str, time: str, id
     own = Window.partitionBy(record).orderBy(time, id)
     moved = events.withColumn("from_state", F.coalesce(F.lag(to_state).over(own), F.lit(initial)))
     allowed = transitions.select("from_state", F.col("to_state").alias(to_state), F.lit(True).alias("_ok")).distinct()
-    return moved.join(F.broadcast(allowed), ["from_state", to_state], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    return moved.join(allowed, ["from_state", to_state], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
 def timeline(records: DataFrame, events: DataFrame, record: str, time: str, id: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LEVELS = {"domain": ["domain"], "feature": ["domain", "feature"], "component": ["domain", "feature", "type"]}
 
@@ -16,13 +17,13 @@ def group_id(level: str) -> Column:
 def group_nodes(nodes: DataFrame, level: str, sample: int = 12) -> DataFrame:
     """``(group_id, members, first_members)``: nodes by hierarchy level.
 
-    Samples are the smallest ids, kept by a bounded aggregate over ranks that
-    are pre-aggregated in cells, so that no group is gathered whole.
+    Samples are the smallest ids, the first ``sample`` of each group by rank,
+    which tasks cut before rows are shuffled, so that no group is gathered.
     """
-    keyed = nodes.withColumn("group_id", group_id(level))
-    # At most `sample` ids of each cell can be among the smallest of the group.
-    cells = keyed.groupBy("group_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("cell")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("id")), 1, sample).alias("ids"))
-    return cells.groupBy("group_id").agg(F.sum("n").alias("members"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, sample).alias("first_members"))
+    keyed = nodes.select("id", group_id(level).alias("group_id"))
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("id"))
+    first = keyed.withColumn("_r", rank).where(F.col("_r") <= sample).groupBy("group_id").agg(F.array_sort(F.collect_list("id")).alias("first_members"))
+    return keyed.groupBy("group_id").agg(F.count("*").alias("members")).join(first, "group_id")
 
 
 def type_counts(nodes: DataFrame, level: str) -> DataFrame:

@@ -17,6 +17,8 @@ def session(name: str = "plait", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plait-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()

@@ -54,7 +54,7 @@ def discover(files: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
 
 def fingerprint(files: DataFrame, columns: list[str]) -> DataFrame:
     """One row: a fingerprint of distinct rows that depends on no order, from partial aggregates."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\0", *columns), 256), 1, 15), 16, 10).cast("long")
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("long")
     return files.select(h.alias("h")).distinct().agg(F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("total"), F.count("*").alias("n"))
 
 
