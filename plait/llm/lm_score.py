@@ -25,6 +25,8 @@ these; what leaves a bucket are tables by context and, for pairs of two
 customers or more, what sweeps need.  Sweeps exchange, by context, the tables
 beyond one for each pair.  At the end blocks ask again, and buckets answer with
 customers and tables, from which each block computes its documents' scores.
+A word's pairs are in one bucket; its size is that of the word's distinct
+contexts, not of its tokens.
 Nothing is gathered on the driver but totals.
 """
 
@@ -37,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fold_of, materialise, partitions, worker_cache
+from .common import WORD, drop_path, fold_of, free_shuffles, materialise, partitions, worker_cache, written
 
 BLOCK_BYTES = 8_000_000
 DISCOUNT, STRENGTH = 0.7, 3.0
@@ -74,14 +76,14 @@ class Ids(dict):
 
 
 def pairs_of(tokens: np.ndarray, size: np.ndarray, which: bool = False):
-    """Distinct pairs ``word << 32 | context`` of texts given as ranks of their tokens, 0 being the rank before a text's first; with ``which``, also each token's pair."""
+    """Distinct pairs ``word << 32 | context`` of texts given as ranks of their tokens; with ``which``, also each token's pair.  Before a text's first token stands the end, which is every text's last."""
     before = np.concatenate([[0], tokens[:-1]])
-    before[np.cumsum(size) - size] = tokens[-1] if len(tokens) else 0  # every text's last token is the end
+    before[np.cumsum(size) - size] = tokens[-1] if len(tokens) else 0
     return np.unique(tokens << 32 | before, return_inverse=which)
 
 
-def read_block(ids: list, texts: list[bytes | None], trains: list[bool], buckets: int) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """The block's documents as ranks of their tokens, and its question to each bucket: words, how many pairs each has, their contexts and counts."""
+def read_block(ids: list, texts: list[bytes | None], trains: list[bool]) -> bytes:
+    """The block's documents: hashes of its words in order, and ranks of the documents' tokens among them."""
     import xxhash
 
     upper = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -95,43 +97,53 @@ def read_block(ids: list, texts: list[bytes | None], trains: list[bool], buckets
     inner[end - 1] = False
     token[inner] = np.concatenate(lots)
     h = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - HASH_BITS) for w in known), np.int64, len(known))
-    bucket = h % buckets
-    order = np.lexsort((h, bucket))
+    order = np.argsort(h, kind="stable")
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    return pickle.dumps((ids, pack(np.diff(h[order], prepend=0)), pack(narrow(rank[token])), size, [int(t) for t in trains]))
+
+
+def open_block(blob: bytes, buckets: int) -> tuple:
+    """Documents, ranks of their tokens by bucket and hash, hashes in that order, and how many of a document's tokens and whether it teaches."""
+    ids, steps, packed, size, trains = pickle.loads(blob)
+    h = np.cumsum(unpack(steps)[0])
+    order = np.lexsort((h, h % buckets))
     rank = np.empty(len(h), np.int64)
     rank[order] = np.arange(len(h))
-    tokens = rank[token]
+    return ids, rank[unpack(packed)[0]], h[order], size, np.array(trains, bool)
+
+
+def questions(blob: bytes, buckets: int) -> list[tuple[int, bytes]]:
+    """A block's question to each bucket: words, how many pairs each has, their contexts and training counts."""
+    _, tokens, h, size, trains = open_block(blob, buckets)
     pairs, which = pairs_of(tokens, size, True)
-    count = np.bincount(which, np.repeat(np.array(trains, float), size), len(pairs)).astype(np.int64)
-    docs = pickle.dumps((ids, pack(narrow(tokens)), len(h), size, [int(t) for t in trains]))
-    word, context = pairs >> 32, h[order][pairs & (2**32 - 1)]
-    cuts = np.searchsorted(bucket[order][word], np.arange(buckets + 1))
-    word_cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    count = np.bincount(which, np.repeat(trains.astype(float), size), len(pairs)).astype(np.int64)
+    bucket = h % buckets
+    word, context = pairs >> 32, h[pairs & (2**32 - 1)]
+    cuts, word_cuts = np.searchsorted(bucket[word], np.arange(buckets + 1)), np.searchsorted(bucket, np.arange(buckets + 1))
     asked = []
     for b in range(buckets):
         s, e, ws, we = cuts[b], cuts[b + 1], word_cuts[b], word_cuts[b + 1]
         if s < e:
-            asked.append((b, pack(np.diff(h[order][ws:we], prepend=0), narrow(np.bincount(word[s:e] - ws, minlength=we - ws)), context[s:e], narrow(count[s:e]))))
-    return docs, asked
+            asked.append((b, pack(np.diff(h[ws:we], prepend=0), narrow(np.bincount(word[s:e] - ws, minlength=we - ws)), context[s:e], narrow(count[s:e]))))
+    return asked
 
 
 def merge_questions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """Distinct words, and for each distinct pair its word's place, context and training count; for each block the places of its pairs and words."""
+    """Distinct words, and for each distinct pair its word's place, context and training count; for each block the places of its pairs and words.
+
+    Pairs are told apart, and put in order, by 64 mixed bits of both hashes.
+    """
     parts = [unpack(b) for b in blobs]
-    hashes = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]))
-    each = []
-    for steps, n, context, count in parts:
-        words = np.searchsorted(hashes, np.cumsum(steps))
-        each.append((words, np.repeat(words, n.astype(np.int64)), context, count.astype(np.int64)))
-    word, context = (np.concatenate([x[k] for x in each]) for k in (1, 2))
-    order = np.lexsort((context, word))
-    word, context = word[order], context[order]
-    first = np.ones(len(word), bool)
-    first[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(first) - 1
-    count = np.bincount(place, np.concatenate([x[3] for x in each]), int(first.sum())).astype(np.int64)
-    cuts = np.cumsum([0, *(len(x[1]) for x in each)])
-    return hashes, word[first], context[first], count, [(place[a:b], x[0]) for a, b, x in zip(cuts, cuts[1:], each, strict=False)]
+    own = [np.cumsum(p[0]) for p in parts]
+    hashes = np.unique(np.concatenate(own))
+    words = [np.searchsorted(hashes, h) for h in own]
+    word = np.concatenate([np.repeat(w, p[1].astype(np.int64)) for w, p in zip(words, parts, strict=True)])
+    context = np.concatenate([p[2] for p in parts])
+    _, first, place = np.unique(mix(hashes[word], context), return_index=True, return_inverse=True)
+    count = np.bincount(place, np.concatenate([p[3] for p in parts]), len(first)).astype(np.int64)
+    cuts = np.cumsum([0, *(len(p[2]) for p in parts)])
+    return hashes, word[first], context[first], count, [(place[a:b], w) for a, b, w in zip(cuts, cuts[1:], words, strict=False)]
 
 
 def mix(*keys) -> np.ndarray:
@@ -272,35 +284,35 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         own += [none(None if t is None else t[k], pa.int64()) for k in range(SAMPLES)]
         return pa.RecordBatch.from_arrays([*own, none(mass, pa.float64()), none(blob, pa.binary())], names=["kind", "bucket", "block", "u", "n", *names, "mass", "blob"])
 
-    def read(whole: bool):
-        """A function over batches of documents that gives each block's questions and, if ``whole``, the block itself."""
-
-        def run(batches):
-            from pyspark import TaskContext
-
-            part, blocks = TaskContext.get().partitionId(), 0
-            ids, texts, size = [], [], 0
-
-            def flush():
-                nonlocal ids, texts, size, blocks
-                block = f"{part}-{blocks}"
-                docs_blob, asked = read_block(ids, texts, [fold_of(i, modulus) != left_out for i in ids], buckets)
-                ids, texts, size, blocks = [], [], 0, blocks + 1
+    def read(batches):
+        """Documents as blocks, one row each."""
+        from pyspark import TaskContext
+
+        part, blocks = TaskContext.get().partitionId(), 0
+        ids, texts, size = [], [], 0
+
+        def flush():
+            nonlocal ids, texts, size, blocks
+            blob = read_block(ids, texts, [fold_of(i, modulus) != left_out for i in ids])
+            ids, texts, size, blocks = [], [], 0, blocks + 1
+            return emit(DOCS, 1, block=[f"{part}-{blocks}"], blob=[blob])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                ids.append(batch.column("id")[i].as_py())
+                texts.append(batch.column("text")[i].as_py())
+                size += len(texts[-1] or b"") + 64
+                if size > BLOCK_BYTES:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    def ask(batches):
+        """The questions of each block."""
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                asked = questions(blob, buckets)
                 yield emit(ASKED, len(asked), [b for b, _ in asked], [block] * len(asked), blob=[x for _, x in asked])
-                if whole:
-                    yield emit(DOCS, 1, [int(mix(part, blocks) % np.uint64(buckets))], [block], blob=[docs_blob])
-
-            for batch in batches:
-                for i in range(len(batch)):
-                    ids.append(batch.column("id")[i].as_py())
-                    texts.append(batch.column("text")[i].as_py())
-                    size += len(texts[-1] or b"") + 64
-                    if size > BLOCK_BYTES:
-                        yield from flush()
-            if ids:
-                yield from flush()
-
-        return run
 
     def grouped(column: str, answer):
         """A function over batches that come sorted by ``column``: ``answer(value, rows by kind)`` for each whole group."""
@@ -352,13 +364,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         known = customers > 0
         yield emit(TOTAL, 1, u=[int(known.sum())], n=[int(count.sum())], mass=[float(parent_draw(customers[known], seed, 0, hashes[known]).sum())])
 
-    merged = materialise(dealt(rows.mapInArrow(read(False), schema)).mapInArrow(grouped("bucket", merge), schema), "merged")
+    blocks = materialise(rows.mapInArrow(read, schema), "blocks")
+    merged, merged_at = written(dealt(blocks.mapInArrow(ask, schema)).mapInArrow(grouped("bucket", merge), schema), "merged")
+    free_shuffles(spark)
     first = merged.where(F.col("kind") == TOTAL).agg(F.sum("u"), F.sum("n"), F.sum("mass")).first()
     known_words, train_tokens, mass = int(first[0] or 0), int(first[1] or 0), float(first[2] or 0)
     contexts = materialise(merged.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("n")), "contexts")
     types = int(contexts.agg(F.sum("n")).first()[0] or 0)
     need = materialise(merged.where(F.col("kind") == NEED).select("bucket", "u").join(contexts, "u").select("bucket", "u", "n"), "need")
-    pairs, beyond, totals = merged.where(F.col("kind") == PAIRS), None, []
+    pairs, pairs_at, beyond, totals = merged.where(F.col("kind") == PAIRS), merged_at, None, []
     empty = [F.lit(None).cast("long").alias(t) for t in names]
 
     def sweep_of(number: int, mass: float):
@@ -388,12 +402,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     for number in range(BURN_IN + SAMPLES):
         now = need if beyond is None else need.join(beyond, "u", "left").select("bucket", "u", (F.col("n") + F.coalesce("extra", F.lit(0))).alias("n"))
         needed = now.select(F.lit(NEED).alias("kind"), "bucket", F.lit(None).cast("string").alias("block"), "u", "n", *empty, F.lit(None).cast("double").alias("mass"), F.lit(None).cast("binary").alias("blob"))
-        done = materialise(dealt(pairs.union(needed)).mapInArrow(grouped("bucket", sweep_of(number, mass + rest_draw(known_words, seed, number))), schema), "sweep")
+        done, done_at = written(dealt(pairs.union(needed)).mapInArrow(grouped("bucket", sweep_of(number, mass + rest_draw(known_words, seed, number))), schema), "sweep")
         mass = float(done.where(F.col("kind") == TOTAL).agg(F.sum("mass")).first()[0] or 0)
         pairs = done.where(F.col("kind") == PAIRS)
+        drop_path(spark, pairs_at)
+        pairs_at = done_at
         beyond = materialise(done.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("extra")), "beyond")
         if number >= BURN_IN:
             totals.append((types + int(beyond.agg(F.sum("extra")).first()[0] or 0), beyond))
+        free_shuffles(spark)
 
     home = contexts
     for t, (_, extra) in zip(names, totals, strict=True):
@@ -403,8 +420,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     def answer(bucket, kinds):
         """To each block that asked: of its words, customers, the parent's customers and tables as contexts; of its pairs, customers and tables."""
-        if DOCS in kinds:
-            yield from kinds[DOCS].combine_chunks().to_batches()
         if ASKED not in kinds:
             return
         hashes, word, _, count, places = merge_questions(blobs_of(kinds[ASKED]))
@@ -429,14 +444,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     def add_up(block, kinds):
         import pyarrow as pa
 
-        ids, packed, words, size, trains = pickle.loads(blobs_of(kinds[DOCS])[0])
+        ids, tokens, h, size, trains = open_block(blobs_of(kinds[DOCS])[0], buckets)
         parts = [unpack(b) for b in blobs_of(kinds[ASKED])]
         columns = [np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(2 + 3 * SAMPLES)]
         of_word, parents, as_context = columns[0], columns[1 : 1 + SAMPLES], columns[1 + SAMPLES : 1 + 2 * SAMPLES]
         count, tables = columns[1 + 2 * SAMPLES], columns[2 + 2 * SAMPLES :]
-        tokens = unpack(packed)[0].astype(np.int64)
         pair, which = pairs_of(tokens, size, True)
-        if len(of_word) != words or len(count) != len(pair):
+        if len(of_word) != len(h) or len(count) != len(pair):
             raise ValueError("a block's answers are not complete")
         word, context = pair >> 32, pair & (2**32 - 1)
         p = sum(predictive(count, tables[k], of_word[context], as_context[k][context], parent_of(parents[k], sums[k], known_words)[word]) for k in range(SAMPLES)) / SAMPLES
@@ -445,14 +459,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         known = of_word[tokens]
         base = add(np.log10((known + 1) / (train_tokens + known_words + 1)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, arrow_kind), pa.array(~np.array(trains, bool)), pa.array(size.astype(np.int64)), pa.array(add((known > 0).astype(float)).astype(np.int64)), pa.array(base), pa.array(add(np.log10(p)[which]) if train_tokens else np.zeros(len(ids)))],
+            [pa.array(ids, arrow_kind), pa.array(~trains), pa.array(size.astype(np.int64)), pa.array(add((known > 0).astype(float)).astype(np.int64)), pa.array(base), pa.array(add(np.log10(p)[which]) if train_tokens else np.zeros(len(ids)))],
             names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_kind = to_arrow_type(kind_of_id)
-    answers = dealt(rows.mapInArrow(read(True), schema).union(pairs).union(home)).mapInArrow(grouped("bucket", answer), schema)
-    out = answers.repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
+    answers = materialise(dealt(blocks.mapInArrow(ask, schema).union(pairs).union(home)).mapInArrow(grouped("bucket", answer), schema), "answers")
+    drop_path(spark, pairs_at)
+    free_shuffles(spark)
+    out = answers.union(blocks).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
     out = out.mapInArrow(grouped("block", add_up), f"id {kind_of_id.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
