@@ -38,6 +38,11 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(order).alias(order), *[F.max_by(c, order).alias(c) for c in others])
 
 
+def unmatched(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the others don't have; rows without a key stay, as nothing matches them."""
+    return rows.join(others.select(key), key, "left_anti")
+
+
 def compare(before: DataFrame, after: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """``(key, change)`` of added, removed and changed keys, by a full outer join; unchanged ones are left out."""
     body = F.to_json(F.struct(*compared), {"ignoreNullFields": "false"})

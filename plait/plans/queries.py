@@ -150,10 +150,11 @@ def semi_edges(spark, d):
     return joins.retained_edges(edges(spark, d), nodes(spark, d).where(F.col("type").isin("customer", "nation"))).select("source", "target", "type")
 
 
-@query(GRAPH_SQL + "SELECT id FROM nodes WHERE type = 'customer' AND id NOT IN (SELECT target FROM edges WHERE type = 'handles')")
+@query(GRAPH_SQL + "SELECT id FROM nodes WHERE type = 'supplier' AND id NOT IN (SELECT target FROM edges WHERE type = 'uses' AND source LIKE 'part:11_')")
 def anti_catalog(spark, d):
-    used = edges(spark, d).where("type = 'handles'").select(F.col("target").alias("id"))
-    return nodes(spark, d).where("type = 'customer'").select("id").join(used, "id", "left_anti")
+    """Suppliers that none of a few parts uses."""
+    used = edges(spark, d).where("type = 'uses' AND source LIKE 'part:11_'").select(F.col("target").alias("id"))
+    return joins.unmatched(nodes(spark, d).where("type = 'supplier'").select("id"), used, "id")
 
 
 @query("""WITH t AS (SELECT DISTINCT page_id AS a, unnest(regexp_extract_all(html, '(?:class|id|href)="([^"]{3,120})"', 1)) AS t FROM pages), n AS (SELECT t FROM t GROUP BY t HAVING count(*) >= 2), u AS (SELECT * FROM t WHERE t IN (SELECT t FROM n)),
@@ -232,7 +233,7 @@ def safe_ratio(spark, d):
 def status_histogram(spark, d):
     rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     status = F.when(F.col("quality").isNull(), "unavailable").when(F.col("quality") == 1, "verified").otherwise("stale")
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return rollup.count_by(rows.select(status.alias("status")), "status").withColumnRenamed("value", "status")
 
 
 @query("SELECT count(*) AS total, sum(quality)::BIGINT AS accepted, round(sum(quality) / greatest(count(*), 1), 4) AS accept_rate, round(sum(toxic) / greatest(count(*), 1), 4) AS flag_rate FROM labels")

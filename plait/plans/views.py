@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import artifacts, flowviews, review
+from ..operators import artifacts, flowviews, review, version
 from ..session import scratch_path
-from ..sources import store
+from ..sources import files, store
 from ..sources.tables import GRAPH_SQL, edges, nodes, table
-from .queries import query
+from .queries import INVENTORY_SQL, inventory_files, query
 
 #: Orders as flows: the order, its parts in order of keys, then their suppliers.
 STEPS_SQL = """,
@@ -195,3 +195,24 @@ def stored_delta(spark, d):
 def changed_contexts(spark, d):
     s = stored(spark, d)
     return store.changed_contexts(s.delta(2), s.read(2)[0], steps(spark, d), 2)
+
+
+@query(GRAPH_SQL + """, a AS (SELECT 'node' AS entity, id AS key, CASE WHEN id LIKE 'part:1%' THEN 'removed' ELSE 'changed' END AS change FROM nodes WHERE id LIKE 'part:1%' OR type = 'region'
+ UNION ALL SELECT 'edge', source || '|' || target || '|' || type, CASE WHEN source LIKE 'part:1%' OR target LIKE 'part:1%' THEN 'removed' ELSE 'changed' END FROM edges WHERE source LIKE 'part:1%' OR target LIKE 'part:1%' OR type = 'imports') SELECT * FROM a""")
+def graph_delta_edges(spark, d):
+    """Nodes and edges of a version without some parts, with other labels of regions and less confidence in imports."""
+    n, e = nodes(spark, d), edges(spark, d)
+    gone = lambda c: F.col(c).like("part:1%")
+    later = n.where(~gone("id")).withColumn("label", F.when(F.col("type") == "region", F.concat("label", F.lit("*"))).otherwise(F.col("label")))
+    less = e.where(~gone("source") & ~gone("target")).withColumn("confidence", F.when(F.col("type") == "imports", "likely").otherwise(F.col("confidence")))
+    return version.graph_delta(n, later, e, less, ["label", "type"])
+
+
+@query(INVENTORY_SQL + """, n AS (SELECT path, CASE WHEN mtime % 50 = 0 THEN size + 1 ELSE size END AS size FROM f) SELECT (SELECT count(*) FROM (SELECT DISTINCT path, size FROM f)) AS files, (SELECT count(*) FROM f JOIN n USING (path) WHERE f.size <> n.size) = 0 AS same, true AS same_again""")
+def inventory_fingerprint(spark, d):
+    """Whether the fingerprint tells a changed inventory, and gives the same in another order."""
+    f = inventory_files(spark, d).select("path", "size", "mtime")
+    now = f.withColumn("size", F.when(F.col("mtime") % 50 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    mark = lambda df, name: files.fingerprint(df, ["path", "size"]).select(F.struct("xor", "total", "n").alias(name))
+    rows = mark(f, "a").crossJoin(mark(now, "b")).crossJoin(mark(f.orderBy(F.desc("size")), "c"))
+    return rows.select(F.col("a.n").alias("files"), (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("same_again"))
