@@ -271,8 +271,10 @@ def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
     Adds ``ids`` (array of int, unless None), ``tokens`` (long), ``decoded``
     (the text from the ids, if named) and, with ``digests``, ``ids_sha256`` and
     ``decoded_sha256``.  Null texts count as empty; other columns stay, but for
-    those of the names added, which are replaced.  Texts are encoded in pieces
-    of a batch of about 4 MB, a longer text by itself.
+    those of the names added, which are replaced.  Every row is encoded by
+    itself: repeated rows, null and repeated keys stay, an empty table gives an
+    empty one.  Texts are encoded in pieces of a batch of about 4 MB, a longer
+    text by itself, as a whole.
     """
     from pyspark.sql import types as T
 
