@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import artifacts, flowviews, review, version
+from ..operators import artifacts, filters, flowviews, review, version
 from ..session import scratch_path
 from ..sources import files, store
 from ..sources.tables import GRAPH_SQL, edges, nodes, table
@@ -216,3 +216,38 @@ def inventory_fingerprint(spark, d):
     mark = lambda df, name: files.fingerprint(df, ["path", "size"]).select(F.struct("xor", "total", "n").alias(name))
     rows = mark(f, "a").crossJoin(mark(now, "b")).crossJoin(mark(f.orderBy(F.desc("size")), "c"))
     return rows.select(F.col("a.n").alias("files"), (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("same_again"))
+
+
+@query(GRAPH_SQL + STORED_SQL + " SELECT entity, id, CASE change WHEN 'added' THEN 'removed' WHEN 'removed' THEN 'added' ELSE change END AS change FROM c")
+def snapshot_comparison(spark, d):
+    """The newer version against the older one, backwards."""
+    return stored(spark, d).compare(2, 1)
+
+
+@query(GRAPH_SQL + """, later AS (SELECT CASE WHEN type = 'customer' AND id LIKE '%7' THEN id || 'x' ELSE id END AS id, type, CASE WHEN type = 'part' AND id LIKE '%3' THEN label || '*' ELSE label END AS label, domain FROM nodes WHERE type <> 'supplier' OR id NOT LIKE '%5'),
+ asked AS (SELECT id, type, label, domain FROM nodes UNION ALL SELECT 'no:1', NULL, NULL, NULL), g AS (SELECT type, label, domain, count(*) AS n, min(id) AS other FROM later GROUP BY ALL)
+ SELECT a.id, CASE WHEN a.type IS NULL THEN 'unknown' WHEN l.id IS NOT NULL AND l.label = a.label THEN 'unchanged' WHEN l.id IS NOT NULL THEN 'changed' WHEN n = 1 THEN 'moved' WHEN n > 1 THEN 'ambiguous' ELSE 'gone' END AS status, CASE WHEN l.id IS NOT NULL THEN a.id WHEN n = 1 THEN other END AS match
+ FROM asked a LEFT JOIN later l ON l.id = a.id LEFT JOIN g ON g.type = a.type AND g.label = a.label AND g.domain = a.domain""")
+def context_continuity(spark, d):
+    n = nodes(spark, d)
+    kind = lambda t, sign: (F.col("type") == t) & F.col("id").like(f"%{sign}")
+    later = n.where(~kind("supplier", 5)).withColumn("label", F.when(kind("part", 3), F.concat("label", F.lit("*"))).otherwise(F.col("label"))).withColumn("id", F.when(kind("customer", 7), F.concat("id", F.lit("x"))).otherwise(F.col("id")))
+    return store.continuity(n.select("id").union(spark.createDataFrame([("no:1",)], "id string")), n, later)
+
+
+@query(GRAPH_SQL + """, f AS (SELECT id FROM nodes WHERE kind = 'endpoint' UNION SELECT target FROM edges WHERE type = 'handles' AND source IN (SELECT id FROM nodes WHERE kind = 'endpoint') UNION SELECT source FROM edges WHERE type = 'uses' AND target IN (SELECT id FROM nodes WHERE kind = 'endpoint'))
+ SELECT id FROM f UNION SELECT target FROM edges WHERE type IN ('contains', 'calls') AND source IN (SELECT id FROM f)""")
+def entry_sources(spark, d):
+    return filters.entry_sources(nodes(spark, d), edges(spark, d), asking=("uses",), further=("contains", "calls"))
+
+
+@query(RECORDS_SQL + """, x AS (SELECT o_orderkey AS f, count(DISTINCT l_suppkey) FILTER (l_quantity > 45) AS tests, count(DISTINCT l_partkey) AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+ SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM documents WHERE lang IN ('en', 'de')) AS parsed, (SELECT count(*) FROM x) AS flows, (SELECT count(*) FROM x WHERE tests > 0) AS tested, (SELECT sum(t) FROM x)::BIGINT AS transitions,
+ (SELECT count(*) FROM n WHERE r = 1) AS artifacts, (SELECT count(*) FROM n WHERE r = 1 AND graph_version = 1) AS current, (SELECT count(*) FROM orders WHERE o_orderstatus IN ('F', 'O')) AS verified, (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) AS stale, NULL::DOUBLE AS overall""")
+def trust_summary(spark, d):
+    orders, line = table(spark, d, "orders"), table(spark, d, "lineitem")
+    parsed = table(spark, d, "documents").select(F.when(F.col("lang").isin("en", "de"), "parsed").otherwise("inventory").alias("status"))
+    of = line.groupBy("l_orderkey").agg(F.count_distinct(F.when(F.col("l_quantity") > 45, F.col("l_suppkey"))).alias("tests"), F.count_distinct("l_partkey").alias("transitions"))
+    flows = orders.join(of, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    verified = orders.select(F.when(F.col("o_orderstatus") == "F", "current").when(F.col("o_orderstatus") == "O", "compatible").otherwise("stale").alias("status"))
+    return review.trust(parsed, flows, artifacts.latest(records(spark, d)).select((F.col("graph_version") == 1).alias("current")), verified)
