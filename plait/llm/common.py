@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Files of shuffles are deleted by another thread; how long to let it.
+CLEANING_SECONDS = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,9 +68,10 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver notice which shuffles no plan needs any more, so that executors delete their files."""
+    """Have the driver notice which shuffles no plan needs any more, and give executors a moment to delete their files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(CLEANING_SECONDS)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -369,9 +369,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     free_shuffles(spark)
     first = merged.where(F.col("kind") == TOTAL).agg(F.sum("u"), F.sum("n"), F.sum("mass")).first()
     known_words, train_tokens, mass = int(first[0] or 0), int(first[1] or 0), float(first[2] or 0)
-    contexts = materialise(merged.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("n")), "contexts")
+    contexts, contexts_at = written(merged.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("n")), "contexts")
+    spent = [contexts_at]
     types = int(contexts.agg(F.sum("n")).first()[0] or 0)
-    need = materialise(merged.where(F.col("kind") == NEED).select("bucket", "u").join(contexts, "u").select("bucket", "u", "n"), "need")
+    need, need_at = written(merged.where(F.col("kind") == NEED).select("bucket", "u").join(contexts, "u").select("bucket", "u", "n"), "need")
     pairs, pairs_at, beyond, totals = merged.where(F.col("kind") == PAIRS), merged_at, None, []
     empty = [F.lit(None).cast("long").alias(t) for t in names]
 
@@ -407,11 +408,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         pairs = done.where(F.col("kind") == PAIRS)
         drop_path(spark, pairs_at)
         pairs_at = done_at
-        beyond = materialise(done.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("extra")), "beyond")
+        beyond, beyond_at = written(done.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("extra")), "beyond")
+        spent.append(beyond_at)
         if number >= BURN_IN:
             totals.append((types + int(beyond.agg(F.sum("extra")).first()[0] or 0), beyond))
-        free_shuffles(spark)
-
+    drop_path(spark, need_at)
+    free_shuffles(spark)
     home = contexts
     for t, (_, extra) in zip(names, totals, strict=True):
         home = home.join(extra.withColumnRenamed("extra", t), "u", "left")
@@ -467,7 +469,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
 
     arrow_kind = to_arrow_type(kind_of_id)
     answers = materialise(dealt(blocks.mapInArrow(ask, schema).union(pairs).union(home)).mapInArrow(grouped("bucket", answer), schema), "answers")
-    drop_path(spark, pairs_at)
+    for path in (pairs_at, *spent):
+        drop_path(spark, path)
     free_shuffles(spark)
     out = answers.union(blocks).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
     out = out.mapInArrow(grouped("block", add_up), f"id {kind_of_id.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
