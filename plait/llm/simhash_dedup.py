@@ -156,7 +156,9 @@ def near_pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(home(batch.column("fp").to_numpy().view(np.uint64))), batch.column("fp")], names=["anchor", "b"])
 
-    near = distinct.mapInArrow(settle, "anchor long, b long").join(distinct.mapInArrow(spread, "anchor long, a long"), "anchor")
+    # Spark takes what a function in Arrow gives to be as many rows as it got, and would broadcast replicas by the size of the fingerprints.
+    replicas = distinct.mapInArrow(spread, "anchor long, a long").hint("merge")
+    near = distinct.mapInArrow(settle, "anchor long, b long").join(replicas, "anchor")
     return near.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
 
 
@@ -169,7 +171,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     fps = materialise(fingerprints(docs, key, text), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    linked = components(near_pairs(fps))
+    linked = components(materialise(near_pairs(fps), "links"))  # read twice: for the links and for the ids they name
     named = classes.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     member = named.select("fp", "group").join(least, "group").select("fp", "component_id")

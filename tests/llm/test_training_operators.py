@@ -79,6 +79,14 @@ def test_simhash(spark):
     assert keyless.count() == 3
 
 
+def test_simhash_replicas_are_never_broadcast(spark):
+    """They are 61 times the fingerprints that Spark knows the size of."""
+    fps = spark.range(40000).select(F.xxhash64("id").alias("fp"))
+    near = simhash_dedup.near_pairs(fps)
+    near.collect()
+    assert near._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+
+
 def test_pipeline_stages_with_repeated_and_null_keys(spark, tmp_path):
     import corpus_pipeline
 
