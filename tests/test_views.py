@@ -93,6 +93,52 @@ def test_lens_and_evidence_by_hand(spark):
     assert flowviews.lens(steps.limit(0), e).count() == 0
 
 
+def shuffled(spark, df):
+    """MB of shuffles that ``df`` writes."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+    before = written()
+    df().write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+def hub_flows(spark, n):
+    """``n`` flows over one hub, and the edges to two steps below it."""
+    steps = spark.range(n).select(F.col("id").alias("flow_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("step_idx"), F.lit(x).alias("node_id"), F.lit(d).alias("depth")) for i, x, d in ((1, "hub", 0), (2, "x1", 1), (3, "x2", 1))])).alias("s")).select("flow_id", "s.*")
+    out = spark.range(2000).select(F.lit("hub").alias("source"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("target"), F.lit("calls").alias("type"), F.lit("exact").alias("confidence"), F.col("id").alias("edge_ord"))
+    return steps, out
+
+
+def test_lens_of_hubs_lists_no_edges_by_flow(spark):
+    steps, e = hub_flows(spark, 1000)
+    assert shuffled(spark, lambda: flowviews.lens(steps, e)) < 2
+
+
+def test_evidence_of_hubs_lists_no_tests_by_flow(spark):
+    steps, e = hub_flows(spark, 1000)
+    more = e.select(F.concat(F.lit("t"), "target").alias("source"), F.lit("hub").alias("target"), "type", "confidence", "edge_ord")
+    tests = more.select(F.col("source").alias("id"))
+    assert shuffled(spark, lambda: flowviews.evidence(steps, more, tests)) < 2
+    assert {tuple(r)[1:] for r in flowviews.evidence(steps, more, tests).collect()} == {(3, 0, 0, 0, 2000)}
+
+
+def test_tests_of_flows_by_brute_force(spark, monkeypatch):
+    """Sets of more than one strip, and blocks in pieces."""
+    import random
+
+    monkeypatch.setattr(flowviews, "SET_ROWS", 20_000)
+    rng = random.Random(5)
+    touching = {(f"n{rng.randrange(20)}", f"t{rng.randrange(60_000)}") for _ in range(90_000)}
+    on = [(f, i + 1, f"n{rng.randrange(24)}", i) for f in range(60) for i in range(rng.randint(1, 6))]
+    e = spark.createDataFrame([(t, n, "tests", "exact", 1) for n, t in touching], "source string, target string, type string, confidence string, edge_ord long")
+    steps = spark.createDataFrame(on, "flow_id long, step_idx int, node_id string, depth int")
+    of = defaultdict(set)
+    for n, t in touching:
+        of[n].add(t)
+    want = {f: len(set().union(*(of[n] for g, _, n, _ in on if g == f))) for f in range(60)}
+    assert {r.flow_id: r.tests for r in flowviews.evidence(steps, e, e.selectExpr("source AS id")).collect()} == want
+
+
 def test_artifacts_by_hand(spark):
     rows = [(1, "t", "k", 1, "x", ["p"], 1, 5), (2, "t", "k", 2, "y", ["*"], 1, 5), (3, "t", "l", 2, "y", ["q", "r"], 1, None)]
     r = spark.createDataFrame(rows, "record_id long, type string, key string, graph_version int, content_hash string, paths array<string>, created int, bytes long").withColumn("content", F.lit("c"))
