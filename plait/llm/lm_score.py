@@ -23,8 +23,10 @@ Data flow.  Documents are cut into blocks of a few MB.  A block asks each
 bucket of words for its distinct pairs (with training counts).  Buckets merge
 these; what leaves a bucket are tables by context and, for pairs of two
 customers or more, what sweeps need.  Sweeps exchange, by context, the tables
-beyond one for each pair.  At the end blocks ask again, and buckets answer with
-customers and tables, from which each block computes its documents' scores.
+beyond one for each pair.  At the end blocks ask again, a slice of them at a
+time so that not all questions and answers lie on disk at once, and buckets
+answer with customers and tables, from which each block computes its documents'
+scores.  Files of shuffles are deleted as soon as what they led to is written.
 A word's pairs are in one bucket; its size is that of the word's distinct
 contexts, not of its tokens.
 Nothing is gathered on the driver but totals.
@@ -34,14 +36,17 @@ from __future__ import annotations
 
 import pickle
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_path, fold_of, free_shuffles, materialise, partitions, worker_cache, written
+from .common import WORD, drop_path, fold_of, partitions, worker_cache, written
 
 BLOCK_BYTES = 8_000_000
+#: Parts of the blocks that are scored one after the other.
+SLICES = 3
 DISCOUNT, STRENGTH = 0.7, 3.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SAMPLES = 2, 2
@@ -129,21 +134,60 @@ def questions(blob: bytes, buckets: int) -> list[tuple[int, bytes]]:
     return asked
 
 
-def merge_questions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """Distinct words, and for each distinct pair its word's place, context and training count; for each block the places of its pairs and words.
+def keys_of(hashes: np.ndarray, question: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an unpacked question to a bucket with these words: places of its words; word, context and training count of its pairs."""
+    steps, sizes, context, count = question
+    words = np.searchsorted(hashes, np.cumsum(steps))
+    return words, np.repeat(words, sizes.astype(np.int64)), context, count
+
+
+def merge_questions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, and for each distinct pair its word's place, context, training count and whether a block asked that has none of it in training.
 
     Pairs are told apart, and put in order, by 64 mixed bits of both hashes.
     """
-    parts = [unpack(b) for b in blobs]
-    own = [np.cumsum(p[0]) for p in parts]
-    hashes = np.unique(np.concatenate(own))
-    words = [np.searchsorted(hashes, h) for h in own]
-    word = np.concatenate([np.repeat(w, p[1].astype(np.int64)) for w, p in zip(words, parts, strict=True)])
-    context = np.concatenate([p[2] for p in parts])
-    _, first, place = np.unique(mix(hashes[word], context), return_index=True, return_inverse=True)
-    count = np.bincount(place, np.concatenate([p[3] for p in parts]), len(first)).astype(np.int64)
-    cuts = np.cumsum([0, *(len(p[2]) for p in parts)])
-    return hashes, word[first], context[first], count, [(place[a:b], w) for a, b, w in zip(cuts, cuts[1:], words, strict=False)]
+    asked = [unpack(b) for b in blobs]
+    hashes = np.unique(np.concatenate([np.cumsum(q[0]) for q in asked]))
+    cuts = np.cumsum([0, *(len(q[2]) for q in asked)])
+    key, word = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.int32)
+    for q, a, b in zip(asked, cuts, cuts[1:], strict=False):  # one by one, so that what mixing needs in between stays small
+        word[a:b] = keys_of(hashes, q)[1]
+        key[a:b] = mix(hashes[word[a:b]], q[2])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    del key
+    first = order[starts]
+    own = np.concatenate([q[3] for q in asked])[order]
+    del order
+    count = np.add.reduceat(own, starts, dtype=np.int64)
+    without = np.logical_or.reduceat(own == 0, starts)
+    return hashes, word[first], np.concatenate([q[2] for q in asked])[first], count, without
+
+
+def found_in(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``wanted`` is in ``ordered``, and whether it is there at all."""
+    if not len(ordered):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return at, ordered[at] == wanted
+
+
+def known_pairs(keys: np.ndarray, count: np.ndarray, tables: list[np.ndarray], singles: np.ndarray, wanted: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Customers, and tables by sample, of the ``wanted`` keys of a block that has ``own`` customers of them.
+
+    ``keys`` are all pairs of two customers or more.  Others have one if it is
+    the block's own or the key is in ``singles``, and none otherwise.
+    """
+    at, more = found_in(keys, wanted)
+    customers = np.minimum(own, 1).astype(np.int64)
+    doubt = np.flatnonzero(~more & (own == 0))
+    customers[doubt[found_in(singles, wanted[doubt])[1]]] = 1
+    out = []
+    for values in (count, *tables):
+        out.append(customers.copy())
+        out[-1][more] = values[at[more]]
+    return out
 
 
 def mix(*keys) -> np.ndarray:
@@ -285,7 +329,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         return pa.RecordBatch.from_arrays([*own, none(mass, pa.float64()), none(blob, pa.binary())], names=["kind", "bucket", "block", "u", "n", *names, "mass", "blob"])
 
     def read(batches):
-        """Documents as blocks, one row each."""
+        """Documents as blocks, one row each; the bucket of a block is its slice."""
         from pyspark import TaskContext
 
         part, blocks = TaskContext.get().partitionId(), 0
@@ -295,7 +339,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
             nonlocal ids, texts, size, blocks
             blob = read_block(ids, texts, [fold_of(i, modulus) != left_out for i in ids])
             ids, texts, size, blocks = [], [], 0, blocks + 1
-            return emit(DOCS, 1, block=[f"{part}-{blocks}"], blob=[blob])
+            return emit(DOCS, 1, [(part + blocks) % SLICES], [f"{part}-{blocks}"], blob=[blob])
 
         for batch in batches:
             for i in range(len(batch)):
@@ -350,8 +394,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         return [x.as_py() for x in table.column("blob")]
 
     def merge(bucket, kinds):
-        """Tables by context (one for each pair), pairs of two customers or more, the contexts that these need, and totals."""
-        hashes, word, context, count, _ = merge_questions(blobs_of(kinds[ASKED]))
+        """Tables by context (one for each pair), pairs of two customers or more, keys of pairs of one customer that blocks without it ask for, the contexts that pairs need, and totals."""
+        hashes, word, context, count, without = merge_questions(blobs_of(kinds[ASKED]))
         seen = count > 0
         u, types = np.unique(context[seen], return_counts=True)
         yield emit(CONTEXT, len(u), u=u, n=types)
@@ -359,27 +403,30 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         needed = np.unique(context[more])
         yield emit(NEED, len(needed), np.full(len(needed), bucket), u=needed)
         ones = np.bincount(word[count == 1], minlength=len(hashes))
-        yield emit(PAIRS, 1, [bucket], blob=[pickle.dumps((hashes, ones, word[more], context[more], count[more], []))])
+        single = (count == 1) & without
+        yield emit(PAIRS, 1, [bucket], blob=[pickle.dumps((hashes, ones, word[more], context[more], count[more], mix(hashes[word[single]], context[single]), []))])
         customers = np.bincount(word[seen], minlength=len(hashes))
         known = customers > 0
         yield emit(TOTAL, 1, u=[int(known.sum())], n=[int(count.sum())], mass=[float(parent_draw(customers[known], seed, 0, hashes[known]).sum())])
 
-    blocks = materialise(rows.mapInArrow(read, schema), "blocks")
-    merged, merged_at = written(dealt(blocks.mapInArrow(ask, schema)).mapInArrow(grouped("bucket", merge), schema), "merged")
-    free_shuffles(spark)
+    def store(df, name):
+        return written(df, name, free=True)
+
+    blocks, blocks_at = store(rows.mapInArrow(read, schema), "blocks")
+    merged, merged_at = store(dealt(blocks.mapInArrow(ask, schema)).mapInArrow(grouped("bucket", merge), schema), "merged")
     first = merged.where(F.col("kind") == TOTAL).agg(F.sum("u"), F.sum("n"), F.sum("mass")).first()
     known_words, train_tokens, mass = int(first[0] or 0), int(first[1] or 0), float(first[2] or 0)
-    contexts, contexts_at = written(merged.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("n")), "contexts")
+    contexts, contexts_at = store(merged.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("n")), "contexts")
     spent = [contexts_at]
     types = int(contexts.agg(F.sum("n")).first()[0] or 0)
-    need, need_at = written(merged.where(F.col("kind") == NEED).select("bucket", "u").join(contexts, "u").select("bucket", "u", "n"), "need")
+    need, need_at = store(merged.where(F.col("kind") == NEED).select("bucket", "u").join(contexts, "u").select("bucket", "u", "n"), "need")
     pairs, pairs_at, beyond, totals = merged.where(F.col("kind") == PAIRS), merged_at, None, []
     empty = [F.lit(None).cast("long").alias(t) for t in names]
 
     def sweep_of(number: int, mass: float):
         def sweep(bucket, kinds):
             """New tables of the bucket's pairs; by context, the tables beyond one for each pair."""
-            hashes, ones, word, context, count, kept = pickle.loads(blobs_of(kinds[PAIRS])[0])
+            hashes, ones, word, context, count, singles, kept = pickle.loads(blobs_of(kinds[PAIRS])[0])
             tables = kept[-1] if kept else np.ones(len(word), np.int64)
             customers = ones + np.bincount(word, tables, len(hashes)).astype(np.int64)
             known = customers > 0
@@ -396,52 +443,50 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
                 yield emit(CONTEXT, int(some.sum()), u=u[some], n=extra[some])
             customers = ones + np.bincount(word, tables, len(hashes)).astype(np.int64)
             yield emit(TOTAL, 1, mass=[float(parent_draw(customers[known], seed, number + 1, hashes[known]).sum())])
-            yield emit(PAIRS, 1, [bucket], blob=[pickle.dumps((hashes, ones, word, context, count, kept))])
+            yield emit(PAIRS, 1, [bucket], blob=[pickle.dumps((hashes, ones, word, context, count, singles, kept))])
 
         return sweep
 
     for number in range(BURN_IN + SAMPLES):
         now = need if beyond is None else need.join(beyond, "u", "left").select("bucket", "u", (F.col("n") + F.coalesce("extra", F.lit(0))).alias("n"))
         needed = now.select(F.lit(NEED).alias("kind"), "bucket", F.lit(None).cast("string").alias("block"), "u", "n", *empty, F.lit(None).cast("double").alias("mass"), F.lit(None).cast("binary").alias("blob"))
-        done, done_at = written(dealt(pairs.union(needed)).mapInArrow(grouped("bucket", sweep_of(number, mass + rest_draw(known_words, seed, number))), schema), "sweep")
+        done, done_at = store(dealt(pairs.union(needed)).mapInArrow(grouped("bucket", sweep_of(number, mass + rest_draw(known_words, seed, number))), schema), "sweep")
         mass = float(done.where(F.col("kind") == TOTAL).agg(F.sum("mass")).first()[0] or 0)
         pairs = done.where(F.col("kind") == PAIRS)
         drop_path(spark, pairs_at)
         pairs_at = done_at
-        beyond, beyond_at = written(done.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("extra")), "beyond")
+        beyond, beyond_at = store(done.where(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("n").alias("extra")), "beyond")
         spent.append(beyond_at)
         if number >= BURN_IN:
             totals.append((types + int(beyond.agg(F.sum("extra")).first()[0] or 0), beyond))
     drop_path(spark, need_at)
-    free_shuffles(spark)
     home = contexts
     for t, (_, extra) in zip(names, totals, strict=True):
         home = home.join(extra.withColumnRenamed("extra", t), "u", "left")
     home = home.select(F.lit(CONTEXT).alias("kind"), (F.col("u") % buckets).cast("int").alias("bucket"), F.lit(None).cast("string").alias("block"), "u", "n", *[(F.col("n") + F.coalesce(t, F.lit(0))).alias(t) for t in names], F.lit(None).cast("double").alias("mass"), F.lit(None).cast("binary").alias("blob"))
+    home, home_at = store(home, "home")
+    for path in spent:
+        drop_path(spark, path)
     sums = [t for t, _ in totals]
 
     def answer(bucket, kinds):
         """To each block that asked: of its words, customers, the parent's customers and tables as contexts; of its pairs, customers and tables."""
         if ASKED not in kinds:
             return
-        hashes, word, _, count, places = merge_questions(blobs_of(kinds[ASKED]))
-        kept = pickle.loads(blobs_of(kinds[PAIRS])[0])[-1] or [np.zeros(0, np.int64)] * SAMPLES
-        more, tables = np.flatnonzero(count > 1), []
-        for t in kept:
-            own = np.minimum(count, 1)
-            own[more] = t
-            tables.append(own)
-        parents = [np.bincount(word, t, len(hashes)).astype(np.int64) for t in tables]
-        of_word = np.bincount(word, count, len(hashes)).astype(np.int64)
+        hashes, ones, word, context, count, singles, kept = pickle.loads(blobs_of(kinds[PAIRS])[0])
+        tables = kept or [np.zeros(0, np.int64)] * SAMPLES
+        keys = mix(hashes[word], context)  # in order, as questions were merged
+        of_word, *parents = (ones + np.bincount(word, x, len(hashes)).astype(np.int64) for x in (count, *tables))
         as_context = np.zeros((SAMPLES, len(hashes)), np.int64)
         if CONTEXT in kinds:
             u = kinds[CONTEXT].column("u").to_numpy()
             at = np.minimum(np.searchsorted(u, hashes), len(u) - 1)
             for k, t in enumerate(names):
                 as_context[k] = np.where(u[at] == hashes, kinds[CONTEXT].column(t).to_numpy()[at], 0)
-        for block, (at, words) in zip(kinds[ASKED].column("block").to_pylist(), places, strict=True):
-            blob = pack(*(narrow(a[words]) for a in (of_word, *parents, *as_context)), *(narrow(a[at]) for a in (count, *tables)))
-            yield emit(ASKED, 1, [bucket], [block], blob=[blob])
+        for block, blob in zip(kinds[ASKED].column("block").to_pylist(), blobs_of(kinds[ASKED]), strict=True):
+            words, which, contexts_asked, own = keys_of(hashes, unpack(blob))
+            pairs_asked = known_pairs(keys, count, tables, singles, mix(hashes[which], contexts_asked), own)
+            yield emit(ASKED, 1, [bucket], [block], blob=[pack(*(narrow(a[words]) for a in (of_word, *parents, *as_context)), *map(narrow, pairs_asked))])
 
     def add_up(block, kinds):
         import pyarrow as pa
@@ -468,10 +513,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_kind = to_arrow_type(kind_of_id)
-    answers = materialise(dealt(blocks.mapInArrow(ask, schema).union(pairs).union(home)).mapInArrow(grouped("bucket", answer), schema), "answers")
-    for path in (pairs_at, *spent):
+    result = f"id {kind_of_id.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    parts = [spark.createDataFrame([], result)]
+    for part in sorted(r.bucket for r in blocks.select("bucket").distinct().collect()):
+        own = blocks.where(F.col("bucket") == part)
+        answers = dealt(own.mapInArrow(ask, schema).union(pairs).union(home)).mapInArrow(grouped("bucket", answer), schema)
+        out = answers.union(own).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
+        parts.append(store(out.mapInArrow(grouped("block", add_up), result), "scores")[0])
+    for path in (blocks_at, pairs_at, home_at):
         drop_path(spark, path)
-    free_shuffles(spark)
-    out = answers.union(blocks).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
-    out = out.mapInArrow(grouped("block", add_up), f"id {kind_of_id.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = reduce(DataFrame.union, parts)
     return out.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,12 +1,15 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
 from plait.llm import lm_score
+from plait.llm.common import FREE_SHUFFLES
 
 TEXTS = ["the cat sat on the mat", "the dog sat on the cat", None, "", "  ", "a b c a b c a b", "The THE the", "é ü é zebra", "the cat", "new words only here"] * 6
 
@@ -162,3 +165,66 @@ def test_scores_by_brute_force(spark):
     got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         assert abs(got[i] - sum(math.log10(p(u, w)) for u, w in zip(["", *split(t)], split(t), strict=False))) < 1e-9
+
+
+def shuffle_bytes(spark):
+    """Bytes of all files of shuffles on this machine's disk."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in folders for f in Path(str(d)).rglob("shuffle_*") if f.exists())
+
+
+def test_shuffles_do_not_stay_on_disk(spark):
+    """When a table has been written, the shuffles that led to it are gone, without help of the garbage collector."""
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 400))) for i in range(300)], "doc_id long, text string")
+    before = shuffle_bytes(spark)
+    lm_score.score(docs).write.format("noop").mode("overwrite").save()
+    for _ in range(20):
+        if (left := shuffle_bytes(spark) - before) < 50_000:
+            break
+        time.sleep(0.5)
+    assert left < 50_000
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+
+
+def test_scores_do_not_depend_on_blocks_and_slices(spark, monkeypatch):
+    """Texts in one block, which knows all counts itself, and a block a text in three slices, which learn them from each other."""
+    texts = TEXTS + ["once only", "once only again", "one more pair", "seen by held-out texts", "seen by"] * 4
+    found, slices = [], []
+    real = lm_score.written
+    for size in (8_000_000, 1):
+        names = []
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", size)
+        monkeypatch.setattr(lm_score, "written", lambda df, name, names=names, **more: names.append(name) or real(df, name, **more))
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, f"rare{i % 97} pair{i % 97}") for i in range(500, 700)], "doc_id long, text string").coalesce(1)
+        found.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in lm_score.score(docs).collect()})
+        slices.append(names.count("scores"))
+    assert slices == [1, lm_score.SLICES]
+    assert found[0].keys() == found[1].keys()
+    assert all(np.allclose(found[0][i], found[1][i], rtol=0, atol=1e-9) for i in found[0])
+
+
+def test_customers_of_pairs_that_blocks_ask_for():
+    """Counts of a block's pairs, from pairs of two and more and from single ones that it does not have itself, equal those by brute force."""
+    rng = np.random.default_rng(2)
+    asked = []
+    for _ in range(6):
+        each = np.unique(rng.integers(0, 40, 60) << 32 | rng.integers(0, 15, 60))
+        asked.append((each >> 32, each & (2**32 - 1), rng.integers(0, 2, len(each)) * rng.integers(0, 3, len(each))))
+    total = Counter()
+    for word, context, own in asked:
+        total.update({k: int(c) for *k_, c in zip(word, context, own, strict=True) for k in [tuple(map(int, k_))]})
+    blobs = []
+    for word, context, own in asked:
+        words, sizes = np.unique(word, return_counts=True)
+        blobs.append(lm_score.pack(np.diff(words, prepend=0), lm_score.narrow(sizes), context, lm_score.narrow(own)))
+    hashes, word, context, count, without = lm_score.merge_questions(blobs)
+    keys = lm_score.mix(hashes[word], context)
+    more, single = count > 1, (count == 1) & without
+    assert more.any() and single.any() and (count == 0).any()
+    for (w, u, own), blob in zip(asked, blobs, strict=True):
+        _, which, contexts, customers = lm_score.keys_of(hashes, lm_score.unpack(blob))
+        got, tables = lm_score.known_pairs(keys[more], count[more], [count[more] - 1], keys[single], lm_score.mix(hashes[which], contexts), customers)
+        want = [total[int(a), int(b)] for a, b in zip(w, u, strict=True)]
+        assert got.tolist() == want
+        assert tables.tolist() == [c - (c > 1) for c in want]
