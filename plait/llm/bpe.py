@@ -205,6 +205,8 @@ class Vocabulary:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not cached, and cache them."""
+        if not words:
+            return
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         ids = [self.propose(w) for w in raw]
         flat = np.fromiter((i for x in ids for i in x), np.int64)

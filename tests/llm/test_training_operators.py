@@ -123,6 +123,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(docs.limit(0)).count() == 0
 
 
+def test_bpe_of_batches_without_new_words(spark):
+    """Texts without words, with special tokens alone, and with words that are all cached."""
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    for texts in ([""], ["", ""], ["<|endoftext|>"], ["the cat sat"], ["the cat sat", "the cat"]):
+        assert [x.tolist() for x in v.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    got = bpe.bpe_encode(documents(spark, [None, "", None]).coalesce(1), decoded="decoded", digests=True).collect()
+    assert [(r.ids, r.n_tokens, r.decoded) for r in got] == [([], 0, "")] * 3
+
+
 def test_language_id(spark):
     parts = {"aa": "ka lo mi ru te zo".split(), "bb": "sh ing tor wen dle arp".split()}
     import random
