@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import worker_model
 
 #: The public pattern by which byte-level BPE cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -261,10 +261,8 @@ class Vocabulary:
 
 def load(spec: str) -> Vocabulary:
     """The vocabulary, once for each Python process."""
-    cache, key = worker_cache(), "bpe-" + hashlib.md5(spec.encode()).hexdigest()
-    if key not in cache:
-        cache[key] = Vocabulary(spec)
-    return cache[key]
+    digest = hashlib.md5(spec.encode()).hexdigest()
+    return worker_model(f"bpe-{digest}", digest, lambda: Vocabulary(spec))
 
 
 def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, ids: str | None = "ids", tokens: str = "n_tokens", decoded: str | None = None, digests: bool = False) -> DataFrame:
@@ -291,8 +289,8 @@ def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
     def run(batches):
         import pyarrow as pa
 
-        v = load(spec.value)
         for batch in batches:
+            v = load(spec.value)
             texts = batch.column(text).to_pylist()
             weight = np.cumsum([len(x or "") for x in texts]) // 2_000_000
             for lot in np.unique(weight):
@@ -324,8 +322,8 @@ def bpe_decode(rows: DataFrame, ids: str = "ids", decoded: str = "decoded", voca
     def run(batches):
         import pyarrow as pa
 
-        v = load(spec.value)
         for batch in batches:
+            v = load(spec.value)
             texts = [None if x is None else v.decode(np.array(x, np.int64)) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, decoded])
 

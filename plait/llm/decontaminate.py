@@ -52,7 +52,9 @@ def lookup(benchmark: DataFrame, item: str, text: str, length: int) -> tuple[Dat
     lots = materialise(found.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     held = materialise(found.select("words", "item").distinct().join(lots, "words").select("phrase", "item"), "items")
     terms = lots.select(F.explode("words").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id() + 1)
-    terms = materialise(terms.union(terms.sparkSession.createDataFrame([("", 0)], terms.schema)), "terms")
+    # A table made from Python's rows would start a second family of workers on each executor.
+    empty = terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("term_id"))
+    terms = materialise(terms.union(empty), "terms")
     return lots, held, terms
 
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, worker_cache
+from .common import fold, materialise, worker_model
 
 #: Bounds of the sample: texts for each language, and languages (the most frequent labels).
 SAMPLE_TEXTS = 512
@@ -135,11 +135,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        cache = worker_cache()
-        if cache.get("languages", ("",))[0] != digest:
-            cache["languages"] = digest, Classifier(model.value)
-        classify = cache["languages"][1].classify
         for batch in batches:
+            classify = worker_model("languages", digest, lambda: Classifier(model.value)).classify
             found = [classify(x) for x in batch.column(text).to_pylist()]
             langs, scores = [x for x, _ in found], np.array([y for _, y in found], float)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores), pa.array(scores < least_score)], names=[*keep, *(f.name for f in added)])

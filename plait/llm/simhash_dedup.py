@@ -23,11 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, materialise, partitions, worker_cache
+from .common import WORD, components, materialise, partitions, release_idle, worker_cache
 
 THRESHOLD = 2
 RADIUS = 3
 LENGTH = 23
+#: Fingerprints whose anchors are worked out at once, through some 480 candidates each.
+PIECE = 512
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -67,6 +69,12 @@ def syndrome(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, anchor, is_home)``: every anchor within covering radius plus threshold of each fingerprint."""
+    parts = [(at, piece_anchors(fingerprints[at : at + PIECE])) for at in range(0, max(len(fingerprints), 1), PIECE)]
+    return np.concatenate([at + p[0] for at, p in parts]), np.concatenate([p[1] for _, p in parts]), np.concatenate([p[2] for _, p in parts])
+
+
+def piece_anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for few fingerprints."""
     cache = worker_cache()
     if "golay" not in cache:
         cache["golay"] = golay_tables()
@@ -128,6 +136,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def run(batches):
         import pyarrow as pa
 
+        release_idle()
         for batch in batches:
             fp = [fingerprint_of(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64())], names=["id", "fp"])
@@ -143,6 +152,7 @@ def near_pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
     def spread(batches):
         import pyarrow as pa
 
+        release_idle()
         for batch in batches:
             values = batch.column("fp").to_numpy()
             for i in range(0, len(values), 4096):
@@ -153,6 +163,7 @@ def near_pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
     def settle(batches):
         import pyarrow as pa
 
+        release_idle()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(home(batch.column("fp").to_numpy().view(np.uint64))), batch.column("fp")], names=["anchor", "b"])
 
