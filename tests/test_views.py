@@ -153,6 +153,58 @@ def test_tests_of_flows_by_brute_force(spark, monkeypatch):
     assert {r.flow_id: r.tests for r in flowviews.evidence(steps, e, e.selectExpr("source AS id")).collect()} == want
 
 
+@tables
+def test_evidence_keeps_few_files_of_shuffles(spark):
+    """The most that files of shuffles take at once; with all pairs of steps shuffled it is several times as much."""
+    import threading
+    from pathlib import Path
+
+    dirs = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    over, seen = threading.Event(), []
+
+    def size():
+        total = 0
+        for f in (f for d in dirs for f in Path(d).rglob("shuffle_*.data")):
+            try:
+                total += f.stat().st_size
+            except OSError:  # it went meanwhile
+                pass
+        return total / 1e6
+
+    def watch():
+        while not over.wait(0.05):
+            seen.append(size())
+
+    before, thread = size(), threading.Thread(target=watch)
+    thread.start()
+    try:
+        queries.QUERIES["flow_evidence"](spark, SF.replace("0.001", "0.01")).write.format("noop").mode("overwrite").save()
+    finally:
+        over.set()
+        thread.join()
+    assert max(seen) - before < 5
+
+
+@pytest.mark.parametrize("wide", [16, 0])
+def test_transitions_of_flows_by_brute_force(spark, monkeypatch, wide):
+    """Edges of several types, nodes at two steps of a level, null confidences, and nodes with many edges."""
+    import random
+
+    monkeypatch.setattr(flowviews, "WIDE", wide)
+    rng = random.Random(3)
+    links = [(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}", rng.choice(["exact", "likely", "other", None])) for _ in range(300)] + [("n1", f"m{i}", "exact") for i in range(600)] + [(None, "n1", "exact"), ("n1", None, "exact")]
+    on = [(f, i + 1, rng.choice([f"n{rng.randrange(20)}", f"m{rng.randrange(600)}", "n1", None]), min(i // 2, 2)) for f in range(60) for i in range(rng.randint(1, 8))]
+    e = spark.createDataFrame([(*x, "calls", 1) for x in links], "source string, target string, confidence string, type string, edge_ord long")
+    steps = spark.createDataFrame(on, "flow_id long, step_idx int, node_id string, depth int")
+    want = {}
+    for f in range(60):
+        own = [(n, d) for g, _, n, d in on if g == f]
+        kinds = [c for n, d in own for m, k in own if k == d + 1 for a, b, c in links if a is not None and b is not None and (a, b) == (n, m)]
+        want[f] = (len(own), len(kinds), kinds.count("exact"), kinds.count("likely"), 0)
+    got = {r.flow_id: tuple(r)[1:] for r in flowviews.evidence(steps, e, spark.createDataFrame([], "id string")).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 50
+
+
 def test_artifacts_by_hand(spark):
     rows = [(1, "t", "k", 1, "x", ["p"], 1, 5), (2, "t", "k", 2, "y", ["*"], 1, 5), (3, "t", "l", 2, "y", ["q", "r"], 1, None)]
     r = spark.createDataFrame(rows, "record_id long, type string, key string, graph_version int, content_hash string, paths array<string>, created int, bytes long").withColumn("content", F.lit("c"))
